@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyfold.llm.jaccard import jaccard_components
 from keyfold.llm.licenses import license_scan
 from keyfold.llm.repetition import repetition_rules
 from keyfold.llm.token_counts import token_counts
@@ -28,6 +29,10 @@ def op5_token_counts(spark, d):
     return token_counts(_table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_jaccard(spark, d):
+    return jaccard_components(_table(spark, d, "documents"))
+
+
 def op9_license_scan(spark, d):
     return license_scan(_table(spark, d, "documents"))
 
@@ -35,6 +40,7 @@ def op9_license_scan(spark, d):
 QUERIES = {
     "op3_repetition": op3_repetition,
     "op5_token_counts": op5_token_counts,
+    "op8_jaccard": op8_jaccard,
     "op9_license_scan": op9_license_scan,
 }
 
