@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyfold.llm.decontaminate import contamination
 from keyfold.llm.jaccard import jaccard_components
 from keyfold.llm.licenses import license_scan
 from keyfold.llm.repetition import repetition_rules
+from keyfold.llm.substrings import substring_dedup
 from keyfold.llm.token_counts import token_counts
 
 
@@ -29,6 +31,14 @@ def op5_token_counts(spark, d):
     return token_counts(_table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark, d):
+    return substring_dedup(_table(spark, d, "documents"))
+
+
+def op7_decontamination(spark, d):
+    return contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op8_jaccard(spark, d):
     return jaccard_components(_table(spark, d, "documents"))
 
@@ -40,6 +50,8 @@ def op9_license_scan(spark, d):
 QUERIES = {
     "op3_repetition": op3_repetition,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard": op8_jaccard,
     "op9_license_scan": op9_license_scan,
 }
