@@ -1,15 +1,16 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-Of every run of ``window - gram + 1`` consecutive word k-grams the least hash is kept, in documents
-and in benchmark items alike. Equal passages of ``window`` words thus keep an equal fingerprint, so a
-document without a fingerprint of the benchmark shares no window with it. Documents that have one are
-extended: all their windows are compared, word by word, with those of the items.
+Of every run of ``window - gram + 1`` consecutive word k-grams of an item the least hash is kept. A
+passage of ``window`` words that a document shares with an item thus holds a kept fingerprint, and a
+document without any shares no window. Documents that have one are extended: all their windows are
+compared, word by word, with those of the items.
 
 An item of fewer words than a window is one window of its own length; documents are probed for the
 hashes of all their runs of that length. Items without words or without an id are left out.
 
 The benchmark's fingerprints and windows are counted first. Up to ``INLINE`` fingerprints are tested
-inside the scan and up to ``SMALL`` windows are broadcast; beyond that both are ordinary joins.
+inside the scan, against all k-grams of a document; beyond that documents are winnowed too and their
+fingerprints joined. Up to ``SMALL`` item windows are broadcast; beyond that they are joined.
 
 Null and empty texts have no words and are never contaminated. Rows that share doc_id and text get
 equal results, each on its own.
@@ -17,6 +18,7 @@ equal results, each on its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,17 +30,21 @@ WINDOW, GRAM = 13, 8
 INLINE, SMALL = 20_000, 100_000
 
 
+def _run_hash(words: Column, at: Column, length: int) -> Column:
+    return F.xxhash64(*(F.get(words, at + k) for k in range(length)))
+
+
 def _run_hashes(words: Column, length: int) -> Column:
     """Hashes of all runs of ``length`` entries."""
-    n = F.size(words) - length + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, length)))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(words) - length
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: _run_hash(words, i, length))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _least_of_runs(hashes: Column, length: int) -> Column:
     """The distinct minima of all runs of ``length`` hashes."""
-    n = F.size(hashes) - length + 1
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, length)))
-    return F.when(n > 0, F.array_distinct(minima)).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(hashes) - length
+    minima = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.least(*(F.get(hashes, i + k) for k in range(length))))
+    return F.when(n >= 0, F.array_distinct(minima)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _worded(df: DataFrame, *keys: str) -> DataFrame:
@@ -58,6 +64,21 @@ def _windows(ws: Column, lengths: list[int]) -> Column:
     return F.concat(*map(of, lengths))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once; a plain column would be pasted into every place that names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _any_known(hs: Column, length: int, known: list[int]) -> Column:
+    """Whether any run of ``length`` word hashes is known; runs cut short by the end can only add candidates."""
+    return (F.size(hs) >= length) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(hs) - length, F.lit(0))), lambda i: _run_hash(hs, i, length).isin(known))
+
+
+def _meets(hs: Column, known: dict[int, list[int]], window: int, gram: int) -> Column:
+    """Whether word hashes have a known fingerprint, by window length."""
+    return reduce(lambda a, b: a | b, (_any_known(hs, gram if n == window else n, prints) for n, prints in known.items()), F.lit(False))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row a document.
 
@@ -74,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     prints = long_items.select(F.lit(window).alias("len"), F.explode(_least_of_runs(_run_hashes(F.col("hs"), gram), keep)).alias("f"))
     for n in sizes:
         if n < window:
-            prints = prints.unionByName(items.filter(F.size("ws") == n).select(F.lit(n).alias("len"), F.xxhash64("hs").alias("f")))
+            prints = prints.unionByName(items.filter(F.size("ws") == n).select(F.lit(n).alias("len"), _run_hash(F.col("hs"), F.lit(0), n).alias("f")))
     prints = prints.distinct()
     own = F.explode(_windows(F.col("ws"), [window])).alias("w")
     whole = F.struct(F.lit(0).alias("at"), F.size("ws").alias("len"), F.array_join("ws", " ").alias("win")).alias("w")
@@ -83,20 +104,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if item_windows.limit(SMALL + 1).count() <= SMALL:
         item_windows = F.broadcast(item_windows)
 
-    hashed = _worded(docs, "doc_id", "h")
-    marks = {n: _least_of_runs(F.col("grams"), keep) if n == window else _run_hashes(F.col("hs"), n) for n in sizes}
     few = prints.limit(INLINE + 1).collect()
-    if not few:
-        hits = hashed.filter(F.lit(False))
-    elif len(few) <= INLINE:
-        grams = hashed.select("doc_id", "h", "ws", "hs", (_run_hashes(F.col("hs"), gram) if window in sizes else F.lit(None)).alias("grams"))
-        tests = [F.exists(marks[n], lambda f, n=n: f.isin([r.f for r in few if r["len"] == n])) for n in sizes]
-        hits = grams.filter(reduce(lambda a, b: a | b, tests))
+    worded = docs.select("doc_id", "h", "text", alnum_words(ascii_lower(F.col("text"))).alias("ws"))
+    if len(few) <= INLINE:
+        known = {n: [r.f for r in few if r["len"] == n] for n in sizes}
+        words = alnum_words(ascii_lower(F.col("text")))
+        hits = worded.filter(_bound(words, lambda ws: _bound(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: _meets(hs, known, window, gram))))
     else:
-        grams = hashed.select("doc_id", "h", "hs", (_run_hashes(F.col("hs"), gram) if window in sizes else F.lit(None)).alias("grams"))
-        probes = reduce(DataFrame.unionByName, [grams.select("doc_id", "h", F.lit(n).alias("len"), F.explode(marks[n]).alias("f")) for n in sizes])
+        hashed = _worded(docs, "h")
+        probes = reduce(DataFrame.unionByName, [hashed.select("h", F.lit(n).alias("len"), F.explode(_bound(_run_hashes(F.col("hs"), gram), lambda g: _least_of_runs(g, keep)) if n == window else _run_hashes(F.col("hs"), n)).alias("f")) for n in sizes])
         met = probes.join(prints, ["len", "f"], "left_semi").select("h").distinct()
-        hits = hashed.join(met, "h", "left_semi")
+        hits = worded.join(met, "h", "left_semi")
 
     places = hits.select("doc_id", "h", F.explode(_windows(F.col("ws"), sizes or [window])).alias("w")).select("doc_id", "h", F.struct("w.at", "w.len").alias("p"), F.col("w.win").alias("win"))
     found = places.join(item_windows, "win").groupBy("doc_id", "h").agg(F.collect_set("p").alias("ps"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
