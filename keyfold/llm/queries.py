@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from keyfold.llm.decontaminate import contamination
 from keyfold.llm.jaccard import jaccard_components
 from keyfold.llm.licenses import license_scan
+from keyfold.llm.pieces import round_trip
+from keyfold.llm.pii import pii_report
 from keyfold.llm.repetition import repetition_rules
 from keyfold.llm.substrings import substring_dedup
 from keyfold.llm.token_counts import token_counts
+from keyfold.llm.toxicity import toxicity
+from keyfold.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +27,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, d):
+    return toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op2_pii(spark, d):
+    return pii_report(_table(spark, d, "documents"))
+
+
 def op3_repetition(spark, d):
     return repetition_rules(_table(spark, d, "documents"))
 
 
+def op4_sentencepiece(spark, d):
+    return round_trip(_table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_token_counts(spark, d):
     return token_counts(_table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -47,13 +63,21 @@ def op9_license_scan(spark, d):
     return license_scan(_table(spark, d, "documents"))
 
 
+def op10_warc(spark, d):
+    return archived(_table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_repetition": op3_repetition,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_jaccard": op8_jaccard,
     "op9_license_scan": op9_license_scan,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from keyfold.llm.frames import texts
 from keyfold.llm.textbatch import ALNUM, WordBlock, blocks, mix
@@ -112,7 +113,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
     """(doc_id, more columns, score, predicted), one row a document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = texts(docs, id_col, text_col, *more)
-    schema = kept.select("doc_id", *more).schema.add("score", "double").add("predicted", "int")
+    schema = kept.select("doc_id", *more).schema.add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches):
         np.seterr(over="ignore")
