@@ -151,8 +151,11 @@ def _smaller(x: str, y: str) -> Column:
     return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.id") < F.col(f"{y}.id")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that share prefix tokens under the other orders and meet the threshold."""
+    pairs = written(pairs.distinct())
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = written(_full_sets(docs.join(nodes, "doc_id", "left_semi"), counts, n, percent))
     a = sets.select(F.col("id").alias("a"), F.struct("second", "third", "tokens").alias("x"))
     b = sets.select(F.col("id").alias("b"), F.struct("second", "third", "tokens").alias("y"))
     both = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third"))
@@ -171,19 +174,21 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     filled = described.filter("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("sig0", "sig1", "n").agg(F.min("doc_id").alias("id")))
-    heads = filled.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = heads.select(F.posexplode("prefix").alias("pos", "t"), F.col("doc_id").alias("id"), "n", *_BITS)
+    heads = filled.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    rows = heads.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("pos", "t"))
 
-    # Buckets of two or more, each with its pivot: the document with the fewest rarer tokens.
+    # Buckets of two or more; what else their documents need is fetched once most tokens are gone.
+    buckets = rows.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.bitwise_not("t").alias("q"))
+    shared = written(rows.join(buckets, F.bitwise_not("t") == F.col("q"), "left_semi"))
     fields = ("pos", "n", "id", *_BITS)
-    buckets = written(rows.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*fields)).alias("p")).filter("k > 1").select("t", "p"))
-    shared = written(rows.join(buckets, "t").select("t", F.struct(*fields).alias("r"), "p"))
-    nodes = shared.select(F.col("r.id").alias("doc_id")).distinct()
-    sets = written(_full_sets(docs.join(nodes, "doc_id", "left_semi"), counts, n, percent).dropDuplicates(["id"]))
-
-    ordered = shared.filter("r.id <> p.id").select(F.when(_smaller("r", "p"), F.struct("r", "p")).otherwise(F.struct(F.col("p").alias("r"), F.col("r").alias("p"))).alias("o")).select(F.col("o.r").alias("x"), F.col("o.p").alias("y"))
-    with_pivot = ordered.filter(_may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    first_links = written(_verified(with_pivot, sets, percent))
+    shared = shared.join(filled.select(F.col("doc_id").alias("id"), "n", *_BITS), "id").select("t", F.struct(*fields).alias("r"))
+    shared = written(shared)
+    pivots = written(shared.groupBy("t").agg(F.min("r").alias("p")))  # the document with the fewest rarer tokens
+    met = shared.join(pivots, "t")
+
+    ordered = met.filter("r.id <> p.id").select(F.when(_smaller("r", "p"), F.struct("r", "p")).otherwise(F.struct(F.col("p").alias("r"), F.col("r").alias("p"))).alias("o")).select(F.col("o.r").alias("x"), F.col("o.p").alias("y"))
+    with_pivot = ordered.filter(_may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    first_links = written(_verified(with_pivot, docs, counts, n, percent))
     known = components(first_links)
 
     # Then all pairs of a bucket that are still apart.
@@ -193,7 +198,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     named = named.join(mixed, "t", "left_semi")
     x, y = named.select("t", F.col("r").alias("x")), named.select(F.col("t").alias("t2"), F.col("r").alias("y"))
     apart = x.join(y, (F.col("t") == F.col("t2")) & (F.col("x.of") != F.col("y.of")) & _smaller("x", "y") & _may_link("x", "y", percent))
-    more_links = written(_verified(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, percent))
+    more_links = written(_verified(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), docs, counts, n, percent))
 
     final = components(first_links.unionByName(more_links))
     counts.unpersist()
