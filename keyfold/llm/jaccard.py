@@ -23,6 +23,7 @@ that share a doc_id count as one document when links are followed. A null doc_id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,7 @@ def _described(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
         for batch in batches:
             size, sig, prefix, bits = [], [], [], []
             for s in _sets(batch.column("text"), n):
-                k = len(s) + 1 - -(-percent * len(s) // 100) if len(s) else 0
+                k = _prefix_len(len(s), percent) if len(s) else 0
                 size.append(len(s))
                 sig.append((mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
                 prefix.append(s[np.argsort(_orders(s, counts.value)[0])[:k]])
@@ -117,50 +118,52 @@ def _described(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig0 long, sig1 long, prefix array<long>, m0 long, m1 long, m2 long, m3 long")
 
 
-def _full_sets(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """Per document: its prefixes under the other orders and its whole set."""
+def _need(nx: Column, ny: Column, percent: int) -> Column:
+    return F.ceil(percent * (nx + ny) / (100 + percent) - 1e-9)
 
-    def run(batches):
-        np.seterr(over="ignore")
-        for batch in batches:
-            second, third, whole = [], [], []
-            for s in _sets(batch.column("text"), n):
-                k = len(s) + 1 - -(-percent * len(s) // 100) if len(s) else 0
-                _, two, three = _orders(s, counts.value)
-                second.append(s[np.argsort(two)[:k]])
-                third.append(s[np.argsort(three)[:k]])
-                whole.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(_longs, (second, third, whole))], names=["id", "second", "third", "tokens"])
 
-    return docs.mapInArrow(run, "id long, second array<long>, third array<long>, tokens array<long>")
+def _places_allow(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and the places of a shared token let two sets meet the threshold; x is the smaller one."""
+    nx, ny, px, py = (F.col(f"{side}.{name}") for name in ("n", "pos") for side in (x, y))
+    return (percent * ny <= 100 * nx) & (px <= nx - F.ceil(2 * percent * nx / (100 + percent) - 1e-9)) & (F.least(nx - px, ny - py) >= _need(nx, ny, percent))
 
 
-def _may_link(x: str, y: str, percent: int) -> Column:
-    """Whether the sets behind two rows of a prefix bucket can meet the threshold; x is the smaller one."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    nx, ny = c(x, "n"), c(y, "n")
-    need = F.ceil(percent * (nx + ny) / (100 + percent) - 1e-9)
-    differ = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in _BITS[1:]), F.bit_count(c(x, "m0").bitwiseXOR(c(y, "m0"))))
-    return (
-        (percent * ny <= 100 * nx) & (c(x, "pos") <= nx - F.ceil(2 * percent * nx / (100 + percent) - 1e-9))
-        & (F.least(nx - c(x, "pos"), ny - c(y, "pos")) >= need) & (differ <= nx + ny - 2 * need)
-    )
+def _bits_allow(x: str, y: str, percent: int) -> Column:
+    """Whether the sets' bitmaps do."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITS))
+    return differ <= nx + ny - 2 * _need(nx, ny, percent)
 
 
 def _smaller(x: str, y: str) -> Column:
     return (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.id") < F.col(f"{y}.id")))
 
 
+def _prefix_len(size: int, percent: int) -> int:
+    return size + 1 - -(-percent * size // 100)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) that share prefix tokens under the other orders and meet the threshold."""
+    """The candidate pairs (a, b) that share prefix tokens under the other orders too and meet the threshold."""
     pairs = written(pairs.distinct())
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = written(_full_sets(docs.join(nodes, "doc_id", "left_semi"), counts, n, percent))
-    a = sets.select(F.col("id").alias("a"), F.struct("second", "third", "tokens").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.struct("second", "third", "tokens").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third"))
-    shared = both.select("a", "b", F.size(F.array_intersect("x.tokens", "y.tokens")).alias("i"), (F.size("x.tokens") + F.size("y.tokens")).alias("n"))
-    return shared.filter((100 + percent) * F.col("i") >= percent * F.col("n")).select("a", "b")
+    named = written(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"))
+    both = pairs.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        for p, q in list(zip(_orders(x, counts.value), _orders(y, counts.value), strict=True))[1:]:
+            first, second = x[np.argsort(p)[: _prefix_len(len(x), percent)]], y[np.argsort(q)[: _prefix_len(len(y), percent)]]
+            if not len(np.intersect1d(first, second, assume_unique=True)):
+                return False
+        return (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y))
+
+    def run(batches):
+        np.seterr(over="ignore")
+        for batch in batches:
+            keep = [linked(x, y) for x, y in zip(_sets(batch.column("x"), n), _sets(batch.column("y"), n), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,11 +186,13 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     fields = ("pos", "n", "id", *_BITS)
     shared = shared.join(filled.select(F.col("doc_id").alias("id"), "n", *_BITS), "id").select("t", F.struct(*fields).alias("r"))
     shared = written(shared)
-    pivots = written(shared.groupBy("t").agg(F.min("r").alias("p")))  # the document with the fewest rarer tokens
-    met = shared.join(pivots, "t")
-
-    ordered = met.filter("r.id <> p.id").select(F.when(_smaller("r", "p"), F.struct("r", "p")).otherwise(F.struct(F.col("p").alias("r"), F.col("r").alias("p"))).alias("o")).select(F.col("o.r").alias("x"), F.col("o.p").alias("y"))
-    with_pivot = ordered.filter(_may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    # A bucket's pivot is the document with the fewest rarer tokens; what the bitmaps say comes once pairs are distinct.
+    pivots = written(shared.groupBy("t").agg(F.min(F.struct("r.pos", "r.n", "r.id")).alias("p")))
+    met = shared.select("t", F.struct("r.pos", "r.n", "r.id").alias("r")).join(pivots, "t").filter("r.id <> p.id")
+    ordered = met.select(F.when(_smaller("r", "p"), F.struct("r", "p")).otherwise(F.struct(F.col("p").alias("r"), F.col("r").alias("p"))).alias("o")).select(F.col("o.r").alias("x"), F.col("o.p").alias("y"))
+    with_pivot = ordered.filter(_places_allow("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    bits = lambda side: filled.select(F.col("doc_id").alias(side), F.struct("n", *_BITS).alias(f"of_{side}"))
+    with_pivot = with_pivot.join(bits("a"), "a").join(bits("b"), "b").filter(_bits_allow("of_a", "of_b", percent)).select("a", "b")
     first_links = written(_verified(with_pivot, docs, counts, n, percent))
     known = components(first_links)
 
@@ -197,7 +202,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     mixed = written(named.groupBy("t").agg(F.min("r.of").alias("lo"), F.max("r.of").alias("hi")).filter("lo <> hi").select("t"))
     named = named.join(mixed, "t", "left_semi")
     x, y = named.select("t", F.col("r").alias("x")), named.select(F.col("t").alias("t2"), F.col("r").alias("y"))
-    apart = x.join(y, (F.col("t") == F.col("t2")) & (F.col("x.of") != F.col("y.of")) & _smaller("x", "y") & _may_link("x", "y", percent))
+    apart = x.join(y, (F.col("t") == F.col("t2")) & (F.col("x.of") != F.col("y.of")) & _smaller("x", "y") & _places_allow("x", "y", percent) & _bits_allow("x", "y", percent))
     more_links = written(_verified(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), docs, counts, n, percent))
 
     final = components(first_links.unionByName(more_links))
