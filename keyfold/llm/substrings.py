@@ -9,6 +9,9 @@ the internal nodes of that depth are the repeats. A prefix with more than ``SUBT
 lengthened to the whole window: its nodes then are found by a grouped minimum, which combines before
 it shuffles, so a passage that stands in a third of all documents fills no task.
 
+Documents whose whole text has stood earlier are told by a digest first: all their windows go, and
+no other document needs them.
+
 A window goes if its words start earlier: in a smaller doc_id, or before in the same document.
 Whether a window goes is judged on the input, not on what is left. Null texts have no words. Rows
 with a null doc_id keep all words and make no others go; rows that share a doc_id are not compared
@@ -64,16 +67,26 @@ def _prefixes(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         np.seterr(over="ignore")
         for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())  # here, so that the exchange of texts is the same for all
             ids = batch.column("doc_id")
             for lo, hi, b in blocks(batch.column("text"), NOT_SPACE):
                 doc, _, _, at, p = _runs(b, window, seed)
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array((at - b.first[doc]).astype(np.int32))], names=["p", "doc_id", "at"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "p long, doc_id long, at int")
+    return docs.filter("copy is null").select("doc_id", "text").mapInArrow(run, "p long, doc_id long, at int")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy): documents whose whole text a smaller doc_id has; all their windows start earlier there."""
+    keys = docs.select("doc_id", F.md5("text").alias("m"))
+    # Joined by the decoded key, so that both sides of the join get an exchange and a large group can be split.
+    first = keys.groupBy("m").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.unhex("m").alias("q"), "first")
+    return keys.join(first, F.unhex("m") == F.col("q")).filter("doc_id > first").groupBy("doc_id").agg(F.lit(True).alias("copy"))
 
 
 def _live_segments(batch: pa.RecordBatch, window: int, seed: int, long: int):
-    """Segments whose prefix occurs again; marks holds 2 * place + (1 if the prefix is to be lengthened)."""
+    """(ids, segments...): segments whose prefix occurs again; marks holds 2 * place + (1 if the prefix is to be lengthened)."""
+    batch = batch.filter(batch.column("marks").is_valid())
     marks = batch.column("marks")
     lists = marks.flatten().to_numpy(zero_copy_only=False)
     counts = np.diff(marks.offsets.to_numpy())
@@ -83,7 +96,7 @@ def _live_segments(batch: pa.RecordBatch, window: int, seed: int, long: int):
         mine = (owner >= lo) & (owner < hi) & (lists % 2 == long)
         live = np.isin(at, b.first[owner[mine] - lo] + lists[mine] // 2)
         if live.any():
-            yield lo, b, doc[live], start[live], n[live], p[live]
+            yield batch.column("doc_id").take(pa.array(doc[live] + lo)), b, doc[live], start[live], n[live], p[live]
 
 
 def _segments(marked: DataFrame, window: int, seed: int) -> DataFrame:
@@ -92,11 +105,11 @@ def _segments(marked: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         np.seterr(over="ignore")
         for batch in batches:
-            for lo, b, doc, start, n, p in _live_segments(batch, window, seed, 0):
+            for ids, b, doc, start, n, p in _live_segments(batch, window, seed, 0):
                 raw = b.data.tobytes()
                 words = [raw[x:y] for x, y in zip(b.starts[start].tolist(), b.ends[start + n + window - 2].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.view(np.int64)), batch.column("doc_id").take(pa.array(doc + lo)), pa.array((start - b.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary()).cast(pa.string())],
+                    [pa.array(p.view(np.int64)), ids, pa.array((start - b.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(words, pa.binary()).cast(pa.string())],
                     names=["p", "doc_id", "start", "n", "words"],
                 )
 
@@ -109,11 +122,12 @@ def _windows(marked: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches):
         np.seterr(over="ignore")
         for batch in batches:
-            for lo, b, doc, start, n, _ in _live_segments(batch, window, seed, 1):
+            for ids, b, doc, start, n, _ in _live_segments(batch, window, seed, 1):
                 places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 keys = [ngram_hash(h, window)[places].view(np.int64) for h in (b.hashes, b.word_hashes(1))]
-                doc = np.repeat(doc, n)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), batch.column("doc_id").take(pa.array(doc + lo)), pa.array((places - b.first[doc]).astype(np.int32))], names=["k0", "k1", "doc_id", "start"])
+                of = np.repeat(np.arange(len(n)), n)
+                doc = doc[of]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), ids.take(pa.array(of)), pa.array((places - b.first[doc]).astype(np.int32))], names=["k0", "k1", "doc_id", "start"])
 
     return marked.mapInArrow(run, "k0 long, k1 long, doc_id long, start int")
 
@@ -181,14 +195,16 @@ def _kept(marked: DataFrame, window: int, with_text: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             n_words, n_removed, digest, left = [], [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for text, copy, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "gone")), strict=True):
                 words = text.encode().split()
                 mask = np.zeros(len(words) + 1, np.int32)
                 for g in gone or ():
                     if g["start"] + g["n"] + window - 1 <= len(words):
                         mask[g["start"]] += 1
                         mask[g["start"] + g["n"] + window - 1] -= 1
-                if gone:
+                if copy and len(words) >= window:
+                    kept = []
+                elif gone:
                     stays = np.cumsum(mask[:-1]) == 0
                     kept = [w for w, k in zip(words, stays.tolist(), strict=True) if k]
                 else:
@@ -210,12 +226,13 @@ def _kept(marked: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, subtree: int = SUBTREE, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and what is kept if with_text; one row a document."""
-    docs = texts(docs, id_col, text_col)
+    plain = texts(docs, id_col, text_col)
+    docs = plain.join(_copies(plain), "doc_id", "left")  # the same exchange of texts serves all joins below
     prefixes = _prefixes(docs, window, seed)
     # Keyed anew (~p), so that both sides of the join get an exchange and a hot prefix can be split.
     again = prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.bitwise_not("p").alias("q"), (F.col("k") > subtree).cast("int").alias("long"))
     live = prefixes.join(again, F.bitwise_not("p") == F.col("q")).groupBy("doc_id").agg(F.collect_list(F.col("at") * 2 + F.col("long")).alias("marks"))
-    marked = docs.join(live, "doc_id", "left").filter("marks is not null")
+    marked = docs.join(live, "doc_id", "left").select("doc_id", "text", "marks")
 
     short = _subtrees(_segments(marked, window, seed), window)
     windows = _windows(marked, window, seed)
