@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import components
-from keyfold.llm.frames import texts, written
+from keyfold.llm.frames import lean, texts, written
 from keyfold.llm.textbatch import NOT_SPACE, blocks, mix, ngram_hash
 
 #: Counters of the rarity sketch, and how many travel in one row.
@@ -57,7 +57,7 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         np.seterr(over="ignore")
         total, held, size = np.zeros(CELLS, np.int64), [], 0
-        for batch in batches:
+        for batch in lean(batches):
             for s in _sets(batch.column("text"), n):
                 held.append(s)
                 size += len(s)
@@ -100,7 +100,7 @@ def _described(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             size, sig, prefix, bits = [], [], [], []
             for s in _sets(batch.column("text"), n):
                 k = _prefix_len(len(s), percent) if len(s) else 0
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, counts, n: int, percent: int) -
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             keep = [linked(x, y) for x, y in zip(_sets(batch.column("x"), n), _sets(batch.column("y"), n), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import texts
+from keyfold.llm.frames import lean, texts
 
 MARK = "▁"
 #: Kinds of pieces and of models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts that a worker remembers; all are forgotten when there are more. Bytes of text handled together.
-REMEMBERED, CALL_PARTS, BATCH_BYTES = 400_000, 50_000, 4 << 20
+REMEMBERED, CALL_PARTS, BATCH_BYTES = 200_000, 5_000, 1 << 20
 THREADS = 2
 
 
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str, threads: int = THREADS, id_col: str = "do
 
     def run(batches):
         pieces = Pieces(path, threads)
-        for batch in batches:
+        for batch in lean(batches):
             column = batch.column("text")
             for lo, hi in _grouped(pc.binary_length(column).to_numpy(zero_copy_only=False)):
                 ids = pieces.encode(column.slice(lo, hi - lo).to_pylist())
@@ -172,7 +172,7 @@ def decode(coded: DataFrame, path: str, threads: int = THREADS, id_col: str = "d
 
     def run(batches):
         pieces = Pieces(path, threads)
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column("ids")
             for lo, hi in _grouped(np.diff(ids.offsets.to_numpy()) * 4):
                 out = pieces.decode([x or [] for x in ids.slice(lo, hi - lo).to_pylist()])
@@ -191,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, threads: int = THREADS, id_col: str =
 
     def run(batches):
         pieces = Pieces(path, threads)
-        for batch in batches:
+        for batch in lean(batches):
             column = batch.column("text")
             for lo, hi in _grouped(pc.binary_length(column).to_numpy(zero_copy_only=False)):
                 given = column.slice(lo, hi - lo).to_pylist()
@@ -217,7 +217,7 @@ def parity(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         import sentencepiece
 
         pieces, library = Pieces(path, 1), sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
+        for batch in lean(batches):
             column = batch.column("text")
             for lo, hi in _grouped(pc.binary_length(column).to_numpy(zero_copy_only=False)):
                 given = column.slice(lo, hi - lo).to_pylist()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyfold.llm.frames import texts
+from keyfold.llm.frames import lean, texts
 from keyfold.llm.textbatch import NOT_SPACE, WordBlock, blocks, byte_class, mix, ngram_hash
 
 #: Largest share of word characters inside repeated n-grams, by n.
@@ -83,7 +83,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             column = batch.column("text")
             for lo, hi, b in blocks(column, NOT_SPACE):
                 doc = b.doc_of_word()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import texts
+from keyfold.llm.frames import lean, texts
 from keyfold.llm.textbatch import NOT_SPACE, WordBlock, blocks, mix, ngram_hash, text_buffers
 
 WINDOW, SEED = 20, 8
@@ -66,7 +66,7 @@ def _prefixes(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             batch = batch.filter(batch.column("doc_id").is_valid())  # here, so that the exchange of texts is the same for all
             ids = batch.column("doc_id")
             for lo, hi, b in blocks(batch.column("text"), NOT_SPACE):
@@ -104,7 +104,7 @@ def _segments(marked: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             for ids, b, doc, start, n, p in _live_segments(batch, window, seed, 0):
                 raw = b.data.tobytes()
                 words = [raw[x:y] for x, y in zip(b.starts[start].tolist(), b.ends[start + n + window - 2].tolist(), strict=True)]
@@ -121,7 +121,7 @@ def _windows(marked: DataFrame, window: int, seed: int) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             for ids, b, doc, start, n, _ in _live_segments(batch, window, seed, 1):
                 places = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 keys = [ngram_hash(h, window)[places].view(np.int64) for h in (b.hashes, b.word_hashes(1))]
@@ -175,7 +175,7 @@ def _subtrees(segments: DataFrame, window: int) -> DataFrame:
     def run(batches):
         np.seterr(over="ignore")
         held = None
-        for batch in batches:
+        for batch in lean(batches):
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             p = held["p"].to_numpy()
@@ -193,7 +193,7 @@ def _kept(marked: DataFrame, window: int, with_text: bool) -> DataFrame:
     """What is left of each text; gone holds runs of windows (start, n)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             n_words, n_removed, digest, left = [], [], [], []
             for text, copy, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "gone")), strict=True):
                 words = text.encode().split()

@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyfold.llm.frames import texts
+from keyfold.llm.frames import lean, texts
 from keyfold.llm.textbatch import slices, text_buffers
 
 #: Bytes of text that are cut and encoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Parts whose counts a worker remembers; all are forgotten when there are more.
-REMEMBERED = 400_000
-CALL_BYTES = 1 << 19
+REMEMBERED = 200_000
+CALL_BYTES = 1 << 16
 #: White space by Python's broad definition, which includes all that tokenizers' patterns know.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     def run(batches):
         counter = Counter(path)
-        for batch in batches:
+        for batch in lean(batches):
             column = batch.column("text")
             _, offsets = text_buffers(column)
             for lo, hi in slices(offsets, BATCH_BYTES):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from keyfold.llm.frames import texts
+from keyfold.llm.frames import lean, texts
 from keyfold.llm.textbatch import ALNUM, WordBlock, blocks, mix
 
 BUCKETS = 1 << 20
@@ -49,7 +49,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in lean(batches):
             packed = []
             for lo, hi, b in blocks(batch.column("text"), ALNUM, lower=True):
                 keys = np.unique(np.concatenate([doc * BUCKETS + cell for doc, cell in _grams(b)]))
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
 
     def run(batches):
         model = Ftrl()
-        for batch in batches:
+        for batch in lean(batches):
             for label, cells in zip(batch.column("label").to_pylist(), batch.column("features"), strict=True):
                 model.learn(np.frombuffer(cells.as_buffer(), np.uint32), label)
         at = np.arange(BUCKETS + 1)
@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
         at, w = sent.value
         table = np.zeros(BUCKETS + 1)
         table[at] = w
-        for batch in batches:
+        for batch in lean(batches):
             total = [np.zeros(0)]
             for lo, hi, b in blocks(batch.column("text"), ALNUM, lower=True):
                 hits = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import shared_folder
+from keyfold.llm.frames import lean, shared_folder
 
 SEGMENT, CHUNK, ARCHIVE_BYTES = 64 << 10, 8 << 10, 32 << 20
 #: Smaller payloads are always stored.
@@ -111,7 +111,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, least: int =
     ready = joined.select("uid", "page", "url", "payload", F.when(repeat, F.col("first.page")).alias("refers"), F.when(repeat, F.col("first.uid")).alias("refers_uid"))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             out, size = [], 0
             for r in zip(*(batch.column(c) for c in ("uid", "page", "url", "payload", "refers", "refers_uid")), strict=True):
                 for record in _records(*(x.as_py() for x in r), date, segment):
@@ -169,7 +169,7 @@ def _parsed(archives: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for archive in batch.column("content"):
                 rows, size = [], 0
                 for f, block in _cut(archive.as_py()):
@@ -205,7 +205,7 @@ def _decoded(records: DataFrame) -> DataFrame:
         return (*base, payload, len(payload), own, r["digest"] in (None, own))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             rows = [one(r) for r in batch.to_pylist()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
