@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -46,11 +48,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system where the C library can do that; workers live on between tasks."""
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``limit`` bytes, or of one row; what Arrow keeps in reserve is given back after each."""
+    """Batches of about ``limit`` bytes, or of one row; memory held in reserve is given back after each."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * min(1.0, limit / max(1, batch.nbytes))))
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
         del batch
         pa.default_memory_pool().release_unused()
+        give_back()

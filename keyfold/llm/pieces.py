@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import lean, texts
+from keyfold.llm.frames import give_back, lean, texts
 
 MARK = "▁"
 #: Kinds of pieces and of models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Parts that a worker remembers; all are forgotten when there are more. Bytes of text handled together.
-REMEMBERED, CALL_PARTS, BATCH_BYTES = 300_000, 5_000, 1 << 20
+#: Parts that a worker remembers since it last forgot, besides as many from before that; parts a call; bytes of text handled together.
+REMEMBERED, CALL_PARTS, BATCH_BYTES = 60_000, 5_000, 1 << 20
 THREADS = 2
 
 
@@ -118,10 +118,17 @@ class Pieces:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
         self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if m.cuts() else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.remembered = remembered
 
     def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
+        new = []
+        for p in parts:
+            if p not in self.known:
+                if (ids := self.older.get(p)) is None:
+                    new.append(p)
+                else:
+                    self.known[p] = ids
         for k in range(0, len(new), CALL_PARTS):
             call = new[k : k + CALL_PARTS]
             for p, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
@@ -129,7 +136,7 @@ class Pieces:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.remembered:
-            self.known = {}
+            self.older, self.known = self.known, {}
         if self.model.charsmap or self.model.squeeze:
             flat = [self.normalizer.normalize_str(t) if t else "" for t in batch]
         else:  # nothing but the prefix and the marker
@@ -209,6 +216,8 @@ def round_trip(docs: DataFrame, path: str, threads: int = THREADS, id_col: str =
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded_sha256", "same"],
                 )
+        del pieces
+        give_back()
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, same boolean")
 

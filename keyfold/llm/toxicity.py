@@ -110,9 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, more columns, score, predicted), one row a document."""
+    """(doc_id, more columns, score, predicted), one row a document; "text" among more is the text, null as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = texts(docs, id_col, text_col, *more)
+    kept = texts(docs, id_col, text_col, *(c for c in more if c != "text"))
     schema = kept.select("doc_id", *more).schema.add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches):
@@ -150,5 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """docs without those predicted toxic, judged row by row."""
     model = train(docs, labels, ~held_out(F.col("doc_id")), max_rows, PASSES, id_col, text_col, label_col)
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
-    return score(whole, model, threshold, "doc_id", "text", "row").filter("predicted = 0").select("row.*")
+    rest = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*rest, F.col(text_col).isNotNull().alias("has text")).alias("row"))
+    kept = score(whole, model, threshold, "doc_id", "text", "text", "row").filter("predicted = 0")
+    return kept.select(*(F.when(F.col("row")["has text"], F.col("text")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
