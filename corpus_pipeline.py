@@ -13,13 +13,20 @@ from keyfold.llm.queries import vocabulary
 from keyfold.llm.toxicity import drop_toxic
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """A thousand whole texts a batch: what Python workers hold at once stays small beside Spark's own memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects."""
+    _small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id."""
+    _small_batches(spark)
     return drop_linked(docs)
 
 
@@ -35,6 +42,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
+    _small_batches(spark)
     return round_trip(docs, vocabulary("piece_bpe_32k.model"))
 
 
