@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts that a worker remembers since it last forgot, besides as many from before that; parts a call; bytes of text handled together.
-REMEMBERED, CALL_PARTS, BATCH_BYTES = 60_000, 5_000, 1 << 20
+REMEMBERED, CALL_PARTS, BATCH_BYTES = 120_000, 5_000, 1 << 20
 THREADS = 2
 
 
