@@ -4,7 +4,7 @@ Writing: equal payloads are stored once, by the page of the smallest id; the oth
 record whose block is longer than ``segment`` bytes continues in further records, which carry the
 origin's identifier and their number, the last also the total length. Responses use chunked transfer
 framing. Records go to text files whose lines end as WARC records do, so any file system that Spark
-writes to will do; files are kept near ``ARCHIVE_BYTES``.
+writes to will do; a file holds ``ARCHIVE_RECORDS`` records at most, each of about ``segment`` bytes at most.
 
 Reading: every archive is cut into records by their lengths. Segments, which may lie in different
 archives, are grouped by their origin, ordered by number and held against the total length; then HTTP
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.frames import lean, shared_folder
 
-SEGMENT, CHUNK, ARCHIVE_BYTES = 64 << 10, 8 << 10, 32 << 20
+SEGMENT, CHUNK, ARCHIVE_RECORDS = 64 << 10, 8 << 10, 4096
 #: Smaller payloads are always stored.
 LEAST = 0
 _END = "\r\n\r\n"
@@ -122,9 +121,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, least: int =
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    total = rows.select(F.sum(F.octet_length("payload") + 1000)).first()[0] or 0
-    files = max(1, math.ceil(total / ARCHIVE_BYTES), pages.sparkSession.sparkContext.defaultParallelism)
-    ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).repartition(files).write.option("lineSep", _END).text(path)
+    ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def _cut(archive: bytes):
