@@ -3,7 +3,7 @@
 Writing: equal payloads are stored once, by the page of the smallest id; the others refer to it. A
 record whose block is longer than ``segment`` bytes continues in further records, which carry the
 origin's identifier and their number, the last also the total length. Responses use chunked transfer
-framing. Records go to text files whose lines end as WARC records do, so any file system that Spark
+framing. Records go to gzipped text files whose lines end as WARC records do, so any file system that Spark
 writes to will do; a file holds ``ARCHIVE_RECORDS`` records at most, each of about ``segment`` bytes at most.
 
 Reading: every archive is cut into records by their lengths. Segments, which may lie in different
@@ -19,6 +19,7 @@ a null page_id is written as such and refers to nothing unless another page has
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -121,7 +122,7 @@ def write_warc(pages: DataFrame, path: str, segment: int = SEGMENT, least: int =
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    ready.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _cut(archive: bytes):
@@ -169,7 +170,8 @@ def _parsed(archives: DataFrame) -> DataFrame:
         for batch in lean(batches):
             for archive in batch.column("content"):
                 rows, size = [], 0
-                for f, block in _cut(archive.as_py()):
+                content = archive.as_py()
+                for f, block in _cut(gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content):
                     record = f.get("warc-record-id")
                     rows.append((record, f.get("warc-type"), f.get("warc-target-uri"), _number(f.get("x-page-id")), _number(f.get("warc-segment-number")), f.get("warc-segment-origin-id", record), _number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, _number(f.get("x-refers-to-page-id")), block))
                     size += len(block) + 300
