@@ -12,6 +12,9 @@ from keyfold.llm.pii import redact
 from keyfold.llm.queries import vocabulary
 from keyfold.llm.toxicity import drop_toxic
 
+#: What counts as a near copy here; op8_jaccard has numbers of its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def _small_batches(spark: SparkSession) -> None:
     """A thousand whole texts a batch: what Python workers hold at once stays small beside Spark's own memory."""
@@ -25,9 +28,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
+    """One document of each group of near copies, by five words and a similarity of 0.8: that of the smallest doc_id."""
     _small_batches(spark)
-    return drop_linked(docs)
+    return drop_linked(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

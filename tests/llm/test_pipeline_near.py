@@ -1,0 +1,45 @@
+import helpers as H
+import pytest
+
+import corpus_pipeline
+from test_pipeline import D, stages  # noqa: F401
+
+
+def near(rows, n=5, percent=80):
+    """H.components over n words."""
+    sets, groups = {i: H.shingles(t, n) for i, t in rows}, H.Union()
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    return {groups.find(i) for i in ids}
+
+
+@pytest.mark.parametrize("n_words,changed", [(50, 1), (100, 2), (225, 4)])
+def test_changed_words_link(spark, n_words, changed):
+    base = [f"w{k}" for k in range(n_words)]
+    other = [f"new{k}" if (k + 10) % (n_words // changed) == 0 else w for k, w in enumerate(base)]
+    far = [f"new{k}" if k % 12 == 0 else w for k, w in enumerate(base)]
+    rows = [(k, " ".join(w)) for k, w in enumerate((base, other, far))]
+    assert sum(a != b for a, b in zip(base, other, strict=True)) == changed
+    kept = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), D)
+    assert {r.doc_id for r in kept.collect()} == near(rows) == {0, 2}
+
+
+def test_stages(spark, stages):  # noqa: F811
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    texts = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    _, before, after = stages[1]
+    assert ids(after) == near(texts(before))
+    # What test_pipeline.py asks of the stages behind it.
+    _, before, after = stages[2]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    assert ids(after) == {i for i, x in H.contamination(texts(before), items).items() if not x[-1]}
+    _, before, after = stages[3]
+    now = dict(texts(after))
+    for i, text in texts(before):
+        assert not any(text[a:b] in now[i] and b - a > 8 for _, a, b in H.pii(text)) and (H.pii(text) or now[i] == text)
+    _, before, after = stages[4]
+    assert after.filter("not same").isEmpty() and after.count() == before.count()
