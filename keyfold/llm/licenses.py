@@ -1,10 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) matches a template if it holds at least ``containment`` of the
-template's distinct words. Words have one global order, rarest in the corpus first. A matching
+A block matches a template if it holds at least ``containment`` of the template's distinct words.
+Blocks are the lines of a text and, since notices are wrapped, all runs of as many words as the
+template has, wherever its lines end. Words have one global order, rarest in the corpus first. A matching
 block must then hold one of the first |T| - need + 1 words of the template T (prefix filter), at
 least ``need`` words of the templates at all (length filter), and after the first shared prefix word
 enough words must remain on both sides (positional filter). What passes is verified by intersection.
+Runs of words are looked at only around the places of prefix words, each cut out with its
+surroundings, so what is held grows with those places and not with the text.
 
 The word counts cover all documents; only words of templates are counted, so their number is bounded
 by the templates. The templates themselves, a few rows given by the caller, are what is broadcast.
@@ -43,8 +46,12 @@ TEMPLATES = {
 CONTAINMENT = 0.85
 
 
+def _all_words(text: str) -> list[str]:
+    return [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w]
+
+
 def _template_words(text: str) -> list[str]:
-    return sorted({w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w})
+    return sorted(set(_all_words(text)))
 
 
 def _ranked(docs: DataFrame, templates: Mapping[str, str]) -> list[str]:
@@ -56,7 +63,7 @@ def _ranked(docs: DataFrame, templates: Mapping[str, str]) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, label, containment) of every block that meets the threshold; block: the line, from 0."""
+    """(doc_id, block, label, containment) of every block that meets the threshold; block: the line, from 0; null for a run of words."""
     docs = texts(docs, id_col, text_col)
     spark = docs.sparkSession
     order = {w: k for k, w in enumerate(_ranked(docs, templates))}
@@ -83,7 +90,27 @@ def template_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
     left = F.least(F.col("size") - F.col("at"), F.size("have") - F.col("pos"))
     pairs = tokens.join(F.broadcast(starts), "rank").filter(left + F.least("at", "pos") >= F.col("need")).select("doc_id", "block", "have", "label").distinct()
     overlap = F.size(F.array_intersect("have", "ranks"))
-    return pairs.join(F.broadcast(whole), "label").filter(overlap >= F.col("need")).select("doc_id", "block", "label", (overlap / F.size("ranks")).alias("containment"))
+    in_lines = pairs.join(F.broadcast(whole), "label").filter(overlap >= F.col("need")).select("doc_id", "block", "label", (overlap / F.size("ranks")).alias("containment"))
+    return in_lines.unionByName(_in_runs(lowered, templates, by_rank, prefixes))
+
+
+def _in_runs(lowered: DataFrame, templates: Mapping[str, str], by_rank: list[str], prefixes: list[tuple]) -> DataFrame:
+    """(doc_id, block, label, containment) of the best run of words around each place of a prefix word."""
+    spark = lowered.sparkSession
+    lengths = {label: len(_all_words(t)) for label, t in templates.items()}
+    around = max(lengths.values()) - 1
+    anchors = spark.createDataFrame([(by_rank[rank], label, need, lengths[label], _template_words(templates[label])) for rank, label, _, _, need in prefixes], "w string, label string, need int, length int, template array<string>")
+    heads = F.array(*map(F.lit, sorted({by_rank[p[0]] for p in prefixes})))
+    words = lowered.select("doc_id", alnum_words(F.col("t")).alias("ws"))
+    places = F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains(heads, w), i)), lambda i: i.isNotNull())
+    first = lambda i: F.greatest(i - around, F.lit(0))
+    spans = F.transform(places, lambda i: F.struct(F.get("ws", i).alias("w"), (i - first(i)).alias("at"), F.slice("ws", first(i) + 1, i - first(i) + around + 1).alias("span")))
+    cut = words.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*").join(F.broadcast(anchors), "w")
+    cut = cut.filter(F.size(F.array_intersect("span", "template")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at"))
+    best = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("span", k + 1, F.col("length")), F.col("template")))))
+    found = cut.select("doc_id", "label", "need", F.size("template").alias("size"), best.alias("overlap")).filter(F.col("overlap") >= F.col("need"))
+    return found.select("doc_id", F.lit(None).cast("int").alias("block"), "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
 def _places(words: Column, phrase: str) -> Column:
