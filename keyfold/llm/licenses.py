@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block matches a template if it holds at least ``containment`` of the template's distinct words.
+A block matches a template if it holds at least ``containment`` of the template's distinct words, or all of them where they are fewer than ``SHORT``.
 Blocks are the lines of a text and, since notices are wrapped, all runs of as many words as the
 template has, wherever its lines end. Words have one global order, rarest in the corpus first. A matching
 block must then hold one of the first |T| - need + 1 words of the template T (prefix filter), at
@@ -44,6 +44,8 @@ TEMPLATES = {
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 CONTAINMENT = 0.85
+#: Templates of fewer distinct words must be there whole: a single word tells some of them apart.
+SHORT = 18
 
 
 def _all_words(text: str) -> list[str]:
@@ -71,7 +73,7 @@ def template_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
     rows, prefixes = [], []
     for label, text in templates.items():
         ranks = sorted(order[w] for w in _template_words(text))
-        need = max(1, math.ceil(containment * len(ranks) - 1e-9))
+        need = len(ranks) if len(ranks) < SHORT else max(1, math.ceil(containment * len(ranks) - 1e-9))
         rows.append((label, ranks, need))
         prefixes += [(rank, label, at, len(ranks), need) for at, rank in enumerate(ranks[: len(ranks) - need + 1])]
     least = min(need for _, _, need in rows)

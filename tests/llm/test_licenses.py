@@ -17,3 +17,14 @@ def test_wrapped_notices(spark):
     got = labels(spark, plain + marked + inside + torn)
     assert [x for x, _ in got] == names * 3 + ["", ""]
     assert all(0.85 <= score <= 1 for _, score in got[:6])
+
+
+def test_templates_against_each_other(spark):
+    texts = [f"Note.\n{t}." for t in licenses.TEMPLATES.values()]
+    assert labels(spark, texts) == [(k, 1.0) for k in licenses.TEMPLATES]
+    other = ["Licensed under the Educational Community License, Version 2.0", "Licensed under CC BY-ND 4.0", "Licensed under\nCC BY-ND 4.0"]
+    assert labels(spark, other) == [("", 0.0)] * 3
+
+
+def test_one_word_of_a_long_notice_may_differ(spark):
+    assert [x for x, _ in labels(spark, [licenses.TEMPLATES["bsd"].replace("Redistribution", "Distribution"), licenses.TEMPLATES["mit"].replace("hereby ", "")])] == ["bsd", "mit"]
