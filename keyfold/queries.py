@@ -184,10 +184,9 @@ def stream_wordcount(spark, d):
     """Lines written out, then counted by a stream that takes what is there; the batch result is its oracle."""
     base = shared_folder(spark)
     read_table(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(f"{base}/in")
-    name = f"stream_{uuid.uuid4().hex}"
     rows = stream_lines(spark, f"{base}/in").select(F.explode(words(F.col("value"))).alias("word"))
-    stream_job(rows, ["word"], [Measure("n", "count")], f"{base}/state", name=name).awaitTermination()
-    return spark.table(name)
+    stream_job(rows, ["word"], [Measure("n", "count")], f"{base}/state", sink="table", path=f"{base}/out").awaitTermination()
+    return spark.read.schema("word string, n long").parquet(f"{base}/out")
 
 
 QUERIES = {
