@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 
 #: Anything but ASCII letters, digits and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes up to which a table is sent to every executor; beyond, it is joined by an exchange.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; where it is unset, as in tests, the
-    warehouse stands in for it.
+    The cluster names that folder in spark.checkpoint.dir. Only where everything runs in one process,
+    as in tests, the warehouse stands in for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -29,7 +35,26 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Frees the disk of tables from written() that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(t.written_at)
+
+
+def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows, of about row_bytes each, fit into limit; any join is right either way."""
+    most = max(1, limit // row_bytes)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -45,7 +70,29 @@ def alnum_words(text: Column) -> Column:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(doc_id, text, ...) with null texts as empty; other columns are left behind, whatever their names."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    return docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"), *map(quoted, more))
+
+
+def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The type of an id column, for schemas of Python functions."""
+    return docs.schema[column].dataType.simpleString()
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """Adds h, a hash of the text: (doc_id, h) tells rows of one id apart; rows alike in both get equal results."""
+    return docs.withColumn("h", F.xxhash64("text"))
+
+
+def by_row(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """rows (doc_id, h, ...) joined with found (k, kh, ...), which has a row for each (id, hash) at most; null ids match each other."""
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["k"]) & (rows["h"] == found["kh"]), how)
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id and text hash stand in bad (doc_id, h); columns and texts as they are."""
+    bad = bad.select(F.col("doc_id").alias("k"), F.col("h").alias("kh")).distinct()
+    h = F.xxhash64(F.coalesce(docs["`" + text_col.replace("`", "``") + "`"], F.lit("")))
+    return docs.join(bad, docs["`" + id_col.replace("`", "``") + "`"].eqNullSafe(bad["k"]) & (h == bad["kh"]), "left_anti")
 
 
 def give_back() -> None:

@@ -2,32 +2,24 @@
 
 The Python-side operators of this subpackage work on the UTF-8 buffers that Arrow hands over, many
 documents at a time, instead of on Python strings. A :class:`WordBlock` holds the words of a slice
-of a batch as byte ranges plus a 64-bit hash of every word's bytes, all as numpy arrays.
+of a batch as byte ranges, a 128-bit hash of every word for comparisons between blocks, and, where
+asked for, each word's number among the block's distinct words, which tells equal words exactly.
 
 Blocks are cut at about ``BLOCK_BYTES`` of text, so memory does not grow with the batch; a text that
-is longer than that forms a block of its own and is still processed whole.
+is longer than that forms a block of its own and is still processed whole, at about 15 bytes a byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 18
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-_BYTES = {0: _table(11), 1: _table(12)}
-
-
 def byte_class(members: bytes, negate: bool = False) -> np.ndarray:
     """Boolean lookup table over byte values."""
     lut = np.zeros(256, bool)
@@ -44,23 +36,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            grown = max(n, BLOCK_BYTES + 1)
-            for name, base in (("up", _MULT), ("down", _INV)):
-                steps = np.full(grown, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
+#: Masks of the first bytes of a little-endian number; multipliers.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,11 +73,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 class WordBlock:
     """The words of some consecutive texts.
 
-    starts, ends: byte ranges of words in ``data``; hashes: uint64 of each word's bytes;
+    starts, ends: byte ranges of words in ``data``; hashes, hashes2: two 64-bit hashes of each word;
     first: index of each document's first word, with one closing entry.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lut: np.ndarray, lower: bool, seed: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lut: np.ndarray, lower: bool):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = lut[data]
@@ -113,16 +91,36 @@ class WordBlock:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.lower = lower
-        self.hashes = self.word_hashes(seed)
-
-    def word_hashes(self, seed: int) -> np.ndarray:
-        n = len(self.data)
-        up, down = _powers.get(n + 1)
-        table = _BYTES[seed][_LOWER] if self.lower else _BYTES[seed]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.data] * up[:n], dtype=np.uint64, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        self.inside, self.lower = inside, lower
+        self._packed = _LOWER[data] if lower else data
+        self.hashes, self.hashes2 = self._hashed()
+
+    def _hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of up to 16 bytes are two numbers, which are mixed both ways round with the length; longer ones go through xxh3."""
+        size = self.ends - self.starts
+        room = np.zeros(len(self._packed) + 16, np.uint8)
+        room[: len(self._packed)] = self._packed
+        at = np.lib.stride_tricks.as_strided(room, (len(self._packed) + 1, 16), (1, 1))[self.starts]
+        pair = np.ascontiguousarray(at).view(np.uint64).reshape(-1, 2)
+        low, high = pair[:, 0] & _KEEP[np.minimum(size, 8)], pair[:, 1] & _KEEP[np.clip(size - 8, 0, 8)]
+        n = size.astype(np.uint64)
+        one = mix(low * _C[0] + mix(high * _C[1] + n))
+        two = mix(high * _C[2] + mix(low * _C[3] + n * _C[0]))
+        far = np.flatnonzero(size > 16)
+        if len(far):
+            raw = self._packed.tobytes()
+            digests = b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(self.starts[far].tolist(), self.ends[far].tolist(), strict=True)])
+            both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+            one[far], two[far] = both[:, 0], both[:, 1]
+        return one, two
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """Number of each word among the distinct words of the block: equal words, and no others, have equal numbers."""
+        edge = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=edge[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(self._packed[self.inside]))])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
