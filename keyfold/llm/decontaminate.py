@@ -1,19 +1,24 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-Of every run of ``window - gram + 1`` consecutive word k-grams of an item the least hash is kept. A
-passage of ``window`` words that a document shares with an item thus holds a kept fingerprint, and a
-document without any shares no window. Documents that have one are extended: all their windows are
-compared, word by word, with those of the items.
-
-An item of fewer words than a window is one window of its own length; documents are probed for the
-hashes of all their runs of that length. Items without words or without an id are left out.
-
-The benchmark's fingerprints and windows are counted first. Up to ``INLINE`` fingerprints are tested
-inside the scan, against all k-grams of a document; beyond that documents are winnowed too and their
-fingerprints joined. Up to ``SMALL`` item windows are broadcast; beyond that they are joined.
-
-Null and empty texts have no words and are never contaminated. Rows that share doc_id and text get
-equal results, each on its own.
+The fingerprint of a run of ``window`` words is the least hash of its ``gram``-word runs. It depends
+on these words alone, so a passage that a document shares with an item has the same fingerprint in
+both, and every shared passage of ``window`` words is found. Neighbouring windows mostly share their
+least hash, so a document is a short list of (fingerprint, first window, last window). That list is
+joined with the distinct fingerprints of the benchmark; where it meets one, and only there, the hits
+are extended to whole windows, whose words are joined with the windows of the items.
+
+An item of fewer words than ``window`` is one window of its own length, and its fingerprint is the
+hash of all its words; documents are probed for it in the same join. Items without words or without
+an id are left out; items that share an id count as one.
+
+The benchmark's own tables are sent to all executors while they fit into a bound of bytes, and
+joined by an exchange beyond; both give the same rows. The ids of items are joined last, once for a
+window and a document, however often the window occurs in either.
+
+Null and empty texts have no words and are never contaminated. Ids may be of any type, null or
+shared: every row is judged by its own text, so repeated rows get equal results. Ties between hashes
+do not matter, since a window has one fingerprint wherever it stands. Without documents, or without
+items, nothing is contaminated. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,60 +28,110 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from keyfold.llm.frames import alnum_words, ascii_lower, texts
+from keyfold.llm.frames import alnum_words, ascii_lower, bounded, by_row, emptied, keyed_rows, texts, without, written
 
 WINDOW, GRAM = 13, 8
-INLINE, SMALL = 20_000, 100_000
+_RUNS = "array<struct<len:int,f:bigint,at:int,stop:int>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once; a plain column would be pasted into every place that names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _run_hash(words: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + k) for k in range(length)))
+def _places(size: Column) -> Column:
+    """0, 1 ... size - 1."""
+    return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _run_hashes(words: Column, length: int) -> Column:
-    """Hashes of all runs of ``length`` entries."""
-    n = F.size(words) - length
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: _run_hash(words, i, length))).otherwise(F.array().cast("array<bigint>"))
+def _run_hashes(hs: Column, length: int) -> Column:
+    """Hashes of all runs of ``length`` word hashes."""
+    return F.transform(_places(F.size(hs) - length + 1), lambda i: F.xxhash64(*(F.get(hs, i + k) for k in range(length))))
 
 
-def _least_of_runs(hashes: Column, length: int) -> Column:
-    """The distinct minima of all runs of ``length`` hashes."""
-    n = F.size(hashes) - length
-    minima = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.least(*(F.get(hashes, i + k) for k in range(length))))
-    return F.when(n >= 0, F.array_distinct(minima)).otherwise(F.array().cast("array<bigint>"))
+def _least(hashes: Column, length: int) -> Column:
+    """Minima of all runs of ``length`` entries."""
+    return F.transform(_places(F.size(hashes) - length + 1), lambda i: F.least(*(F.get(hashes, i + k) for k in range(length))))
 
 
-def _worded(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ws, hs): words and their hashes."""
-    ws = df.select(*keys, alnum_words(ascii_lower(F.col("text"))).alias("ws"))
-    return ws.select(*keys, "ws", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+def _fingerprints(hs: Column, length: int, window: int, gram: int) -> Column:
+    """Fingerprint of each run of ``length`` words; entry i is that of the run that starts at word i."""
+    return _bound(_run_hashes(hs, gram), lambda g: _least(g, window - gram + 1)) if length == window else _run_hashes(hs, length)
 
 
-def _windows(ws: Column, lengths: list[int]) -> Column:
-    """Structs (at, len, win) of all runs of the given lengths."""
+def _winnowed(hs: Column, length: int, window: int, gram: int) -> Column:
+    """(len, f, at, stop): the windows at to stop - 1 have the fingerprint f."""
 
-    def of(length: int) -> Column:
-        n = F.size(ws) - length + 1
-        at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(ws, i + 1, length), " ").alias("win")))
-        return F.when(n > 0, at).otherwise(F.array().cast("array<struct<at:int,len:int,win:string>>"))
+    def runs(prints: Column) -> Column:
+        heads = F.filter(_places(F.size(prints)), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+        return _bound(heads, lambda h: F.transform(h, lambda at, k: F.struct(F.lit(length).alias("len"), F.get(prints, at).alias("f"), at.alias("at"), F.coalesce(F.get(h, k + 1), F.size(prints)).alias("stop"))))
 
-    return F.concat(*map(of, lengths))
+    return _bound(_fingerprints(hs, length, window, gram), runs)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once; a plain column would be pasted into every place that names it."""
-    return F.get(F.transform(F.array(value), use), 0)
+def _words(text: str = "text") -> Column:
+    return alnum_words(ascii_lower(F.col(text)))
+
 
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
-def _any_known(hs: Column, length: int, known: list[int]) -> Column:
-    """Whether any run of ``length`` word hashes is known; runs cut short by the end can only add candidates."""
-    return (F.size(hs) >= length) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(hs) - length, F.lit(0))), lambda i: _run_hash(hs, i, length).isin(known))
 
+def _item_windows(benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Windows (len, win, wid, f), the items of each (wid, ids), and the lengths there are."""
+    items = benchmark.filter("doc_id is not null").select("doc_id", _words().alias("ws")).filter(F.size("ws") > 0)
+    items = items.select("doc_id", "ws", F.least(F.size("ws"), F.lit(window)).alias("len"))
+    cut = items.select("doc_id", "len", F.explode(F.transform(_places(F.size("ws") - F.col("len") + 1), lambda i: F.slice("ws", i + 1, F.col("len")))).alias("part"))
+    pairs = written(cut.select("doc_id", "len", F.array_join("part", " ").alias("win")).distinct())
+    sizes = sorted(r["len"] for r in pairs.select("len").distinct().collect())  # at most `window` numbers
+    hs = _hashes(F.split("win", " "))
+    prints = reduce(lambda rest, n: F.when(F.col("len") == n, F.get(_fingerprints(hs, n, window, gram), 0)).otherwise(rest), sizes, F.lit(None).cast("long"))
+    windows = written(pairs.select("len", "win").distinct().select("len", "win", F.monotonically_increasing_id().alias("wid"), prints.alias("f")))
+    # Ids of a window, once for each; a window of very many items is one row here and never sent to all.
+    ids = written(pairs.join(windows.select("len", "win", "wid"), ["len", "win"]).groupBy("wid").agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("ids")))
+    emptied(pairs)
+    return windows, ids, sizes
 
-def _meets(hs: Column, known: dict[int, list[int]], window: int, gram: int) -> Column:
-    """Whether word hashes have a known fingerprint, by window length."""
-    return reduce(lambda a, b: a | b, (_any_known(hs, gram if n == window else n, prints) for n, prints in known.items()), F.lit(False))
+
+def contaminated_windows(docs: DataFrame, windows: DataFrame, sizes: list[int], window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_words) of all rows, and (k, kh, at, len, wid) of all places of item windows; docs: doc_id, text, h."""
+    prints = bounded(windows.select("len", "f").distinct(), 48)
+    runs = F.concat(F.array().cast(_RUNS), *(_winnowed(F.col("hs"), n, window, gram).cast(_RUNS) for n in sizes))
+    probes = docs.select("doc_id", "h", _hashes(_words()).alias("hs")).select("doc_id", "h", F.explode(runs).alias("r")).select("doc_id", "h", "r.*")
+    met = written(probes.join(prints, ["len", "f"], "left_semi").groupBy("doc_id", "h").agg(F.collect_set(F.struct("len", "at", "stop")).alias("runs")))
+    total = met.agg(F.sum(F.size("runs")), F.count("*")).first()
+    hits = met.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "runs")
+    if (total[0] or 0) * 24 + total[1] * 64 <= 32 << 20:
+        hits = F.broadcast(hits)
+
+    def extended(ws: Column) -> Column:
+        of = lambda r: F.transform(F.sequence(r["at"], r["stop"] - 1), lambda i: F.struct(i.alias("at"), r["len"].alias("len"), F.array_join(F.slice(ws, i + 1, r["len"]), " ").alias("win")))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), F.flatten(F.transform(F.coalesce("runs", F.array().cast("array<struct<len:int,at:int,stop:int>>")), of)).alias("places"))
+
+    cut = by_row(docs, hits).select("doc_id", "h", _bound(_words(), extended).alias("x"))
+    rows = written(cut.select("doc_id", "h", "x.n_words", "x.places"))
+    places = rows.filter(F.size("places") > 0).select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), F.explode("places").alias("p")).select("k", "kh", "p.*").distinct()
+    found = written(places.join(bounded(windows.select("len", "win", "wid"), 160), ["len", "win"]).select("k", "kh", "at", "len", "wid"))
+    emptied(met)
+    return rows.select("doc_id", "h", "n_words"), found
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    windows, ids, sizes = _item_windows(benchmark, window, gram)
+    rows, found = contaminated_windows(docs, windows, sizes, window, gram)
+    # Words inside the union of the windows of a row: each adds what lies behind all that began before it.
+    before = Window.partitionBy("k", "kh").orderBy("at", "len").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("k", "kh", "at", "len").withColumn("behind", F.max(F.col("at") + F.col("len")).over(before))
+    hit = spans.groupBy("k", "kh").agg(F.sum(F.greatest(F.lit(0), F.col("at") + F.col("len") - F.greatest("at", F.coalesce("behind", F.lit(0))))).alias("hit"))
+    named = found.select("k", "kh", "wid").distinct().join(ids, "wid").groupBy("k", "kh").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
+    both = hit.join(named.select(F.col("k").alias("k2"), F.col("kh").alias("kh2"), "ids"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("kh") == F.col("kh2"))).select("k", "kh", "hit", "ids")
+    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
+    return by_row(rows, both).select(
+        "doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -85,51 +140,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     n_hit counts words inside any window that an item has too; a document is contaminated if these
     are at least a twentieth of its words.
     """
-    spark = docs.sparkSession
-    docs = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    items = _worded(texts(benchmark, item_col, item_text).filter("doc_id is not null"), "doc_id").filter(F.size("ws") > 0)
-    keep = window - gram + 1
-
-    sizes = [r.n for r in items.select(F.least(F.size("ws"), F.lit(window)).alias("n")).distinct().collect()]  # at most `window` numbers
-    long_items = items.filter(F.size("ws") >= window)
-    prints = long_items.select(F.lit(window).alias("len"), F.explode(_least_of_runs(_run_hashes(F.col("hs"), gram), keep)).alias("f"))
-    for n in sizes:
-        if n < window:
-            prints = prints.unionByName(items.filter(F.size("ws") == n).select(F.lit(n).alias("len"), _run_hash(F.col("hs"), F.lit(0), n).alias("f")))
-    prints = prints.distinct()
-    own = F.explode(_windows(F.col("ws"), [window])).alias("w")
-    whole = F.struct(F.lit(0).alias("at"), F.size("ws").alias("len"), F.array_join("ws", " ").alias("win")).alias("w")
-    item_windows = long_items.select("doc_id", own).unionByName(items.filter(F.size("ws") < window).select("doc_id", whole))
-    item_windows = item_windows.groupBy(F.col("w.win").alias("win")).agg(F.collect_set("doc_id").alias("items"))
-    if item_windows.limit(SMALL + 1).count() <= SMALL:
-        item_windows = F.broadcast(item_windows)
-
-    few = prints.limit(INLINE + 1).collect()
-    worded = docs.select("doc_id", "h", "text", alnum_words(ascii_lower(F.col("text"))).alias("ws"))
-    if len(few) <= INLINE:
-        known = {n: [r.f for r in few if r["len"] == n] for n in sizes}
-        words = alnum_words(ascii_lower(F.col("text")))
-        hits = worded.filter(_bound(words, lambda ws: _bound(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: _meets(hs, known, window, gram))))
-    else:
-        hashed = _worded(docs, "h")
-        probes = reduce(DataFrame.unionByName, [hashed.select("h", F.lit(n).alias("len"), F.explode(_bound(_run_hashes(F.col("hs"), gram), lambda g: _least_of_runs(g, keep)) if n == window else _run_hashes(F.col("hs"), n)).alias("f")) for n in sizes])
-        met = probes.join(prints, ["len", "f"], "left_semi").select("h").distinct()
-        hits = worded.join(met, "h", "left_semi")
-
-    places = hits.select("doc_id", "h", F.explode(_windows(F.col("ws"), sizes or [window])).alias("w")).select("doc_id", "h", F.struct("w.at", "w.len").alias("p"), F.col("w.win").alias("win"))
-    found = places.join(item_windows, "win").groupBy("doc_id", "h").agg(F.collect_set("p").alias("ps"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
-    words_hit = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(p["at"], p["at"] + p["len"] - 1))))
-    found = found.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), F.size(words_hit).alias("hit"), F.sort_array(F.col("ids").cast("array<string>")).alias("ids"))
-    every = docs.select("doc_id", "h", F.size(alnum_words(ascii_lower(F.col("text")))).cast("long").alias("n_words"))
-    out = every.join(found, every.doc_id.eqNullSafe(found.k) & (F.col("h") == F.col("kh")), "left")
-    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
+    return _judged(keyed_rows(texts(docs, id_col, text_col)), texts(benchmark, item_col, item_text), window, gram).drop("h")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones. Rows that share an id go together; rows with a null id stay."""
-    gone = contamination(docs, benchmark, window, gram, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the contaminated rows, each judged by its own text."""
+    bad = _judged(keyed_rows(texts(docs, id_col, text_col)), texts(benchmark, item_col, item_text), window, gram).filter("contaminated")
+    return without(docs, written(bad.select("doc_id", "h")), id_col, text_col)
