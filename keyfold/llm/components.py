@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import written
+from keyfold.llm.frames import emptied, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every node takes the smallest label among its neighbours, then the label of its label, until
     nothing changes; paths halve, so rounds grow with the logarithm of the diameter. Labels are
     written to the shared folder after each step, which keeps the two sides of every join separate
-    (a node with very many links is split by adaptive execution) and the lineage short.
+    (a node with very many links is split by adaptive execution) and the lineage short. Repeated
+    edges and loops change nothing; without edges there are no rows.
     """
     edges = written(edges.select("a", "b").filter("a <> b").distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id"))
@@ -27,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = written(least.join(up, "near").select("id", F.least("near", "far").alias("component")))
         old = labels.select("id", F.col("component").alias("old"))
         done = jumped.join(old, "id").filter("component <> old").isEmpty()
+        emptied(labels, least)
         labels = jumped
         if done:
+            emptied(edges)
             return labels

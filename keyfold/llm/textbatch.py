@@ -60,6 +60,16 @@ def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def exact_ngrams(ids: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of all runs of n words: equal runs, and no others, have equal numbers. ids: numbers of the words."""
+    out, have = ids.astype(np.int64), 1
+    while have < n and len(out):
+        step = min(have, n - have)
+        pair = out[: max(0, len(out) - step)] * np.int64(len(ids) + 1) + out[step:]
+        out, have = np.unique(pair, return_inverse=True)[1].reshape(-1), have + step
+    return out
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every run of w entries."""
     have = 1
