@@ -2,16 +2,24 @@
 
 Base spans are found by four patterns and kept if they pass their check (octets, Luhn, number of
 digits). Looser generators propose more spans, which may overlap. Each proposal is described by its
-kind, digits, check, separators and the characters around it; every description takes one of a fixed
-number of values. Gradient-boosted trees learn from the counts of these descriptions over the whole
-corpus: proposals that meet a base span are positive, proposals that fail their check negative, the
-rest unlabelled. The trees see the even half of the documents; on the odd half the lowest score is
-sought, per kind, at which labelled proposals reach ``precision``. Proposals from there on are added
-where they pass their check and no base span of their kind stands. Base spans always stay.
-
-Positions count code points, ends are exclusive. Null texts are empty. Without proposals of both
-classes nothing is learnt and base spans are all. Rows are judged one by one, so repeated rows get
-equal results. Every pattern starts only where a run starts, so long runs are read once.
+format (kind, digits, separators) and its context (the characters beside it, a cue word before it, the
+start of a line); every description takes one of a fixed number of values. What makes a base span one, the check and the
+leading plus sign, is held back from the descriptions, so trees can't learn it by heart.
+
+Gradient-boosted trees learn from the counts of descriptions over the whole corpus which proposals are
+confirmed, that is meet a base span of their kind. The rest are unlabelled, not wrong: confirmation is
+seen for only a share of the true spans. The trees learn on the even half of the documents. On the odd
+half an isotonic regression makes their scores the probability of being confirmed, and the mean of that
+over confirmed proposals, by kind, is the share of true spans that are confirmed at all; the quotient of
+the two is the probability of being personal data. Proposals that no base span of their kind meets
+are added from ``threshold`` on. Base spans always stay.
+
+Texts are scanned once: base spans and proposals are written to the shared folder, learnt from and
+selected from there. Positions count code points, ends are exclusive. Null texts are empty. Where nothing
+is confirmed, or everything, nothing is learnt and base spans are all. Rows are judged one by one, so
+ids may be null, shared or of any type, repeated rows get equal results, and other columns may have any
+name. Equal scores are accepted or rejected together. An empty table gives an empty result. Every
+pattern starts only where a run starts, so long runs are read once and long texts are whole.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import texts, written
+from keyfold.llm.frames import quoted, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -35,16 +43,27 @@ BASE = {
 }
 #: Patterns of high recall, by kind.
 LOOSE = {
-    "email": (r"(?<![^\s<>()\[\],;:\x22'])[^\s@<>()\[\],;:\x22']{1,64}@[^\s@<>()\[\],;:\x22']++",),
-    "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",),
-    "card": (r"(?<![0-9])[0-9]{13,19}(?![0-9])", r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"),
-    "phone": (r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![0-9])00[0-9]{2}[ -]?[0-9]{6,12}(?![0-9])"),
+    "email": r"(?<![^\s<>()\[\],;:\x22'])[^\s@<>()\[\],;:\x22']{1,64}@[^\s@<>()\[\],;:\x22']++",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
+    "phone": r"(?<![0-9])(?:00[0-9]{2}[ -]?[0-9]{6,12}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
-#: What a text must hold to be searched for a kind.
-_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": "[0-9]"}
-PRECISION = 0.95
-TREES, DEPTH = 8, 3
-FEATURES = ("kind", "digits", "valid", "gaps", "before", "after")
+#: What a text must hold to be searched by a pattern.
+_BASE_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
+_LOOSE_HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{4}[ -]?[0-9]{4}", "phone": r"[0-9]{3}[ .)-]|00[0-9]{2}"}
+#: Words that tell what a number after them is.
+CUES = (
+    "tel|telephone|phone|call|fax|mobile|cell|whatsapp|sms",
+    "card|visa|mastercard|amex|credit|debit|payment",
+    "ip|addr|address|host|server|ping|client",
+    "mail|email|e-mail|contact|write",
+    "order|invoice|id|ref|reference|isbn|issn|no|number|version|serial|sku|ticket|case|build|part",
+)
+BEFORE = 24
+THRESHOLD = 0.5
+TREES, DEPTH = 10, 4
+#: What describes a proposal, and how many values each has.
+FEATURES = {"kind": 4, "digits": 21, "gaps": 5, "before": 6, "after": 6, "cue": len(CUES) + 1, "line": 2}
 
 _SPAN = "struct<start:int,stop:int,value:string,before:string,after:string>"
 
@@ -55,9 +74,10 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
+    """The check of a base span."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "email":
-        return value.rlike(r"^[^@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+        return F.lit(True)
     if kind == "ip":
         return value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     if kind == "card":
@@ -65,11 +85,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _base_check(kind: str, value: Column) -> Column:
-    return F.lit(True) if kind == "email" else _valid(kind, value)
-
-
-def _found(text: Column, kind: str, pattern: str) -> Column:
+def _found(text: Column, pattern: str, hint: str) -> Column:
     """All matches, leftmost and not overlapping, as an array of spans: what lies between them gives the places."""
 
     def place(got: Column, gaps: Column) -> Column:
@@ -77,7 +93,7 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
             start = (acc["stop"] + F.length(F.get(gaps, k))).cast("int")
             value = F.get(got, k)
             stop = (start + F.length(value)).cast("int")
-            span = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), F.right(F.get(gaps, k), F.lit(1)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(1)).alias("after"))
+            span = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), F.right(F.get(gaps, k), F.lit(BEFORE)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(1)).alias("after"))
             return F.struct(stop.alias("stop"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
         zero = F.struct(F.lit(0).alias("stop"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
@@ -86,113 +102,109 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     spans = _bound(got, lambda g: F.when(F.size(g) > 0, _bound(F.split(text, pattern, -1), lambda s: place(g, s))).otherwise(none))
-    return F.when(text.rlike(_HINT[kind]), spans).otherwise(none)
+    return F.when(text.rlike(hint), spans).otherwise(none)
 
 
 def _side(char: Column) -> Column:
-    """Class of the character beside a span: none, white space, letter, digit, quote or bracket, other."""
+    """Class of the character beside a span: end of line or text, white space or plus sign, letter, digit, quote or bracket, other."""
     return (
-        F.when(char == "", 0).when(char.rlike(r"\s"), 1).when(char.rlike(r"\p{L}"), 2).when(char.rlike("[0-9]"), 3)
+        F.when(char.isin("", "\n"), 0).when(char.rlike(r"[\s+]"), 1).when(char.rlike(r"\p{L}"), 2).when(char.rlike("[0-9]"), 3)
         .when(char.rlike(r"[\x22'()\[\]{}<>]"), 4).otherwise(5)
     )
 
 
-def _features(kind: str, span: Column) -> list[Column]:
-    value = span["value"]
+def _code(kind: str, span: Column) -> Column:
+    """The description of a proposal as one number; FEATURES has the meaning of its places."""
+    value, before = span["value"], span["before"]
     inner = F.regexp_replace(value, r"[0-9+@\p{L}]", "")
     gaps = F.when(inner == "", 0).when(inner.rlike("^ +$"), 1).when(inner.rlike("^-+$"), 2).when(inner.rlike(r"^\.+$"), 3).otherwise(4)
-    digits = F.least(F.length(F.regexp_replace(value, "[^0-9]", "")), F.lit(20))
-    return [F.lit(KINDS.index(kind)), digits, _valid(kind, value).cast("int"), gaps, _side(span["before"]), _side(span["after"])]
+    cue = F.lit(0)
+    for k, words in reversed(list(enumerate(CUES, 1))):
+        cue = F.when(before.rlike(rf"(?i)\b(?:{words})\b"), k).otherwise(cue)
+    digits = F.least(F.length(F.regexp_replace(value, "[^0-9]", "")), F.lit(FEATURES["digits"] - 1))
+    line = F.rtrim(F.substring_index(before, "\n", -1)) == ""
+    number = F.lit(0)
+    for part, size in zip((F.lit(KINDS.index(kind)), digits, gaps, _side(F.right(before, F.lit(1))), _side(span["after"]), cue, line.cast("int")), FEATURES.values(), strict=True):
+        number = number * size + part
+    return number.cast("int")
 
 
 def _meets(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
 
 
-def _proposals(found: DataFrame, *keys: str) -> DataFrame:
-    """keys, base spans by kind (b_<kind>) and proposals (more) with their description and weak label."""
+def _scanned(docs: DataFrame, *keys: str) -> DataFrame:
+    """keys, half, base spans by kind (b_<kind>) and proposals: (kind, start, stop, code, met), met by a base span or not."""
     text = F.col("text")
-    base = found.select(*keys, "text", *(_checked(text, k).alias(f"b_{k}") for k in KINDS))
-    return base.select(*keys, "text", *(f"b_{k}" for k in KINDS), F.concat(*(_described(text, k, p) for k in KINDS for p in LOOSE[k])).alias("more"))
-
-
-def _checked(text: Column, kind: str) -> Column:
-    return F.filter(_found(text, kind, BASE[kind]), lambda s: _base_check(kind, s["value"]))
 
+    def checked(kind: str) -> Column:
+        return F.filter(_found(text, BASE[kind], _BASE_HINT[kind]), lambda s: _valid(kind, s["value"]))
 
-def _described(text: Column, kind: str, pattern: str) -> Column:
-    base = F.col(f"b_{kind}")
+    def proposed(kind: str) -> Column:
+        row = lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), _code(kind, s).alias("code"), _meets(s, F.col(f"b_{kind}")).alias("met"))
+        return F.transform(_found(text, LOOSE[kind], _LOOSE_HINT[kind]), row)
 
-    def row(s: Column) -> Column:
-        numbers = [c.cast("int") for c in _features(kind, s)]
-        return F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.array(*numbers).alias("x"),
-            F.when(_meets(s, base), 1).when(~_valid(kind, s["value"]), 0).otherwise(None).cast("int").alias("label"),
-        )
+    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    base = docs.select(*keys, "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"), *(slim(checked(k)).alias(f"b_{k}") for k in KINDS))
+    kept = [k for k in keys if k != "text"]
+    return base.select(*kept, *(["text"] if "text" in keys else []), "half", *(f"b_{k}" for k in KINDS), F.concat(*map(proposed, KINDS)).alias("more"))
 
-    return F.transform(_found(text, kind, pattern), row)
 
-
-def accepted_descriptions(proposals: DataFrame, precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> list[list[int]]:
-    """Descriptions of proposals to be added; proposals: (h, more), h splits documents into two halves."""
+def accepted_codes(scanned: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> list[int]:
+    """Descriptions of proposals to be added."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
 
-    p = proposals.select(F.pmod("h", F.lit(2)).alias("half"), F.explode("more").alias("m")).select("half", "m.x", "m.label")
-    number = lambda half, label: F.count(F.when((F.col("half") == half) & (F.col("label") == label), 1))
-    counts = written(p.groupBy("x").agg(number(0, 0).alias("n0"), number(0, 1).alias("n1"), number(1, 0).alias("t0"), number(1, 1).alias("t1")))
-    table = counts.coalesce(1).select("*", *(F.get("x", k).cast("double").alias(name) for k, name in enumerate(FEATURES)))  # at most one row a description
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    rows = F.explode(F.array(F.struct(F.lit(0.0).alias("label"), F.col("n0").cast("double").alias("weight")), F.struct(F.lit(1.0).alias("label"), F.col("n1").cast("double").alias("weight"))))
-    train = table.select("features", rows.alias("r")).select("features", "r.label", "r.weight").filter("weight > 0")
-    if train.select("label").distinct().count() < 2:
+    p = scanned.select("half", F.explode("more").alias("m")).select("half", "m.code", "m.met")
+    number = lambda half, met: F.count(F.when((F.col("half") == half) & (F.col("met") == met), 1))
+    counts = written(p.groupBy("code").agg(number(0, False).alias("n0"), number(0, True).alias("n1"), number(1, False).alias("t0"), number(1, True).alias("t1")))
+    total = counts.agg(*(F.sum(F.col(c)).alias(c) for c in ("n0", "n1", "t0", "t1"))).first()
+    if not (total.n0 and total.n1 and total.t0 and total.t1):
         return []
-    model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, seed=7).fit(train)
-    scored = model.transform(table).select("x", "kind", "t0", "t1", F.get(vector_to_array("probability"), F.lit(1)).alias("score")).collect()
-    out = []
-    for kind in range(len(KINDS)):
-        mine = sorted((r for r in scored if r.kind == kind), key=lambda r: (-r.score, r.x))
-        good = bad = 0
-        best = None
-        for k, r in enumerate(mine):
-            good, bad = good + r.t1, bad + r.t0
-            if k + 1 == len(mine) or mine[k + 1].score < r.score:
-                best = r.score if good and good >= precision * (good + bad) else best
-        out += [list(r.x) for r in mine if best is not None and r.score >= best and r.x[FEATURES.index("valid")]]
-    return out
-
-
-def find_pii(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, text, more columns, base, spans), one row a document; spans: array of (kind, start, stop), by kind and start."""
-    docs = texts(docs, id_col, text_col, *more)
-    keyed = docs.withColumn("h", F.xxhash64("text"))
-    accepted = accepted_descriptions(_proposals(keyed, "h"), precision)
-    out = _proposals(docs, "doc_id", *more)
+    table, rest = counts.coalesce(1), F.col("code")  # at most one row a description
+    for name, size in reversed(FEATURES.items()):
+        table, rest = table.withColumn(name, (rest % size).cast("int")), F.floor(rest / size)
+    inputs = ["digits", "line"]
+    for name in ("kind", "gaps", "before", "after", "cue"):
+        for k in range(FEATURES[name]):
+            table = table.withColumn(f"{name}_{k}", (F.col(name) == k).cast("double"))
+            inputs.append(f"{name}_{k}")
+    table = VectorAssembler(inputCols=inputs, outputCol="features").transform(table).select("code", "kind", "features", "n0", "n1", "t0", "t1")
+
+    def weighted(frame: DataFrame, no: str, yes: str, column: str) -> DataFrame:
+        rows = F.explode(F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).cast("double").alias("weight")) for label, c in ((0.0, no), (1.0, yes)))))
+        return frame.select(column, rows.alias("r")).select(column, "r.*").filter("weight > 0")
+
+    model = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=7).fit(weighted(table, "n0", "n1", "features"))
+    scored = written(model.transform(table).select("code", "kind", "t0", "t1", F.get(vector_to_array("probability"), F.lit(1)).alias("score")))
+    calibrated = IsotonicRegression(labelCol="label", featuresCol="score", weightCol="weight", predictionCol="confirmed").fit(weighted(scored, "t0", "t1", "score")).transform(scored)
+    share = calibrated.groupBy("kind").agg((F.sum(F.col("confirmed") * F.col("t1")) / F.sum("t1")).alias("share"))
+    rows = calibrated.join(share, "kind").filter((F.col("share") > 0) & (F.col("confirmed") >= threshold * F.col("share"))).select("code").collect()  # at most one a description
+    return sorted(r.code for r in rows)
+
+
+def _selected(scanned: DataFrame, threshold: float) -> DataFrame:
+    """scanned with base and spans: arrays of (kind, start, stop), by kind and start."""
+    codes = accepted_codes(scanned, threshold)
     plain = lambda k: F.transform(f"b_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    known = F.array(*(F.array(*map(F.lit, x)) for x in accepted)) if accepted else None
 
     def added(kind: str) -> Column:
-        if known is None:
-            return F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-        mine = F.filter("more", lambda m: (m["kind"] == kind) & F.array_contains(known, m["x"]) & ~_meets(m, F.col(f"b_{kind}")))
+        mine = F.filter("more", lambda m: (m["kind"] == kind) & ~m["met"] & m["code"].isin(codes or [-1]))
         return F.transform(mine, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop")))
 
-    return out.select("doc_id", "text", *more, F.concat(*map(plain, KINDS)).alias("base"), F.concat(*(F.array_sort(F.array_distinct(F.concat(plain(k), added(k)))) for k in KINDS)).alias("spans"))
+    return scanned.withColumns({"base": F.concat(*map(plain, KINDS)), "spans": F.concat(*(F.array_sort(F.array_distinct(F.concat(plain(k), added(k)))) for k in KINDS))})
 
 
 def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def pii_report(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pii_report(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row a document; counts are of base spans."""
-    found = find_pii(docs, precision, id_col, text_col)
-    return found.select("doc_id", *(F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
-
-
-def _is_kind(kind: str) -> Callable[[Column], Column]:
-    return lambda s: s["kind"] == kind
+    found = _selected(written(_scanned(texts(docs, id_col, text_col), "doc_id")), threshold)
+    return found.select("doc_id", *(F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -209,10 +221,10 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def redact(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with redacted texts; null texts stay null, other columns as they are."""
     rest = [c for c in docs.columns if c != text_col]
-    held = docs.select(F.col(text_col).alias("text"), F.struct(*rest).alias("rest")).withColumn("none", F.col("text").isNull())
-    found = find_pii(held.withColumn("id", F.lit(None).cast("long")), precision, "id", "text", "rest", "none")
+    held = docs.select(F.coalesce(quoted(text_col), F.lit("")).alias("text"), quoted(text_col).isNull().alias("none"), F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(rest)), F.lit(0).alias("z")).alias("rest"))
+    found = _selected(written(_scanned(held, "text", "none", "rest")), threshold)
     new = F.when(F.col("none"), F.lit(None).cast("string")).otherwise(redacted(F.col("text"), F.col("spans")))
-    return found.select(*(new.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+    return found.select(*(new.alias(c) if c == text_col else F.col("rest")[f"c{rest.index(c)}"].alias(c) for c in docs.columns))
