@@ -9,7 +9,10 @@ Learning is online: labelled rows reach one learner as a stream, sorted by pass
 held. Their number is bounded by ``MAX_ROWS``, the rows of least hash among those labelled. Scoring
 runs over all documents in parallel. A label that is null, or a document whose labels differ, follows
 the largest label given; without labelled rows every score is 0. Null and empty texts have no
-features and get the score of the bias alone. Repeated rows get equal scores.
+features and get the score of the bias alone. Rows are scored one by one: ids may be null, shared or of
+any type, repeated rows get equal scores, and a label counts for every row of its id. Of labels with
+equal hashes the smaller id is learnt first. An empty table gives an empty result; other columns may have
+any name; long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from keyfold.llm.frames import lean, texts
+from keyfold.llm.frames import lean, quoted, texts
 from keyfold.llm.textbatch import ALNUM, WordBlock, blocks, mix
 
 BUCKETS = 1 << 20
@@ -87,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, m
 
     may_learn: condition on labels (its column doc_id) that a row must meet to be learnt from.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    known = labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     if may_learn is not None:
         known = known.filter(may_learn)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)
@@ -151,6 +154,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thr
     """docs without those predicted toxic, judged row by row."""
     model = train(docs, labels, ~held_out(F.col("doc_id")), max_rows, PASSES, id_col, text_col, label_col)
     rest = [c for c in docs.columns if c != text_col]
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*rest, F.col(text_col).isNotNull().alias("has text")).alias("row"))
+    row = F.struct(*(quoted(c).alias(f"c{k}") for k, c in enumerate(rest)), quoted(text_col).isNotNull().alias("full"))
+    whole = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), row.alias("row"))
     kept = score(whole, model, threshold, "doc_id", "text", "text", "row").filter("predicted = 0")
-    return kept.select(*(F.when(F.col("row")["has text"], F.col("text")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.select(*(F.when(F.col("row")["full"], F.col("text")).alias(c) if c == text_col else F.col("row")[f"c{rest.index(c)}"].alias(c) for c in docs.columns))
