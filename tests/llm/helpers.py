@@ -123,3 +123,35 @@ def licenses(text):
     at = [(k, label) for p, label in PHRASES.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
     places = [k for k, _ in at]
     return len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))
+
+
+def repeated_chars(text, sizes):
+    """Characters of repeated lines, of all lines, and of words inside repeats of earlier n-grams, by n."""
+    seen, dup, chars = set(), 0, 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup, chars = dup + len(line) * (line in seen), chars + len(line)
+            seen.add(line)
+    w, inside = words(text), []
+    for n in sizes:
+        grams, hit = set(), set()
+        for k in range(len(w) - n + 1):
+            g = tuple(w[k : k + n])
+            if g in grams:
+                hit |= set(range(k, k + n))
+            grams.add(g)
+        inside.append(sum(len(w[k]) for k in hit))
+    return dup, chars, inside
+
+
+def template_labels(text, rules, alike):
+    """Labels of the templates that some run of words matches, and the best containment; every run is looked at."""
+    w, best = alnum(text), {}
+    have = set(w)
+    for t, label, ws, need, block in rules:
+        if len(have & set(ws)) >= need:
+            over = max(len(set(w[k : k + block]) & set(ws)) for k in range(max(1, len(w) - block + 1)))
+            if over >= need:
+                best[t] = (over / len(ws), len(ws), label)
+    kept = [x for t, x in best.items() if not any(u in best and best[u][:2] > x[:2] for s, u in alike if s == t)]
+    return {x[2] for x in kept}, max((x[0] for x in kept), default=0.0)
