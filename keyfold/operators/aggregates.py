@@ -90,6 +90,14 @@ def merge_cells(*parts: DataFrame) -> DataFrame:
     return merged.withColumn("agg", F.when(F.col("agg") == F.col("__other"), F.col("agg")).otherwise(clash)).drop("__other")
 
 
+def one_kind(parts: DataFrame) -> DataFrame:
+    """parts, if every key has one kind of aggregate; else MixedAggregatorsError, before anything is merged."""
+    mixed = parts.groupBy("key").agg(F.min("agg").alias("a"), F.max("agg").alias("b")).filter("a <> b").select("key").limit(5).collect()
+    if mixed:
+        raise MixedAggregatorsError(f"Mixed aggregators used: {', '.join(sorted(r.key for r in mixed))}")
+    return parts
+
+
 def to_num(df: DataFrame) -> DataFrame:
     """(key, value) of cells."""
     value = F.when(F.col("agg") == "sum", F.col("sum")).when(F.col("agg") == "max", F.col("mx")).when(F.col("agg") == "min", F.col("mn")).when((F.col("agg") == "avg") & (F.col("cnt") > 0), F.col("sum") / F.col("cnt"))

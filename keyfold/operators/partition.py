@@ -29,12 +29,14 @@ def randomly_partitioned(df: DataFrame, n: int, *columns: str) -> DataFrame:
 def two_stage_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], salts: int = 16, spread_by: Sequence[str] = (), drop_empty: bool = False) -> DataFrame:
     """Aggregate by (key, salt), then merge the partial states by key.
 
-    A hot key's rows go to up to ``salts`` tasks. Floats may differ from the one-level result in
-    the last digits, since the order of summation differs.
+    A hot key's rows go to up to ``salts`` tasks, dealt by the columns of spread_by or, without any,
+    by the input partition they are in, which reads no further column. Floats may differ from the
+    one-level result in the last digits, since the order of summation differs.
     """
+    dealt = salt(salts, *spread_by) if spread_by else F.spark_partition_id() % salts
     names = [f"__{k}" for k in range(len(keys))]
     first = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "*") if keys else df
-    first = first.groupBy(*names, salt(salts, *(spread_by or df.columns)).alias("__salt")).agg(*(c for m in measures for c in m.partial()), F.count(F.lit(1)).alias("__rows"))
+    first = first.groupBy(*names, dealt.alias("__salt")).agg(*(c for m in measures for c in m.partial()), F.count(F.lit(1)).alias("__rows"))
     out = first.groupBy(*names).agg(*(m.final() for m in measures), F.sum("__rows").alias("__rows"))
     out = out.filter("__rows > 0") if drop_empty and not keys else out
     return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *(m.name for m in measures))

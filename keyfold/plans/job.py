@@ -47,7 +47,8 @@ class Job:
         """The configured inputs as one relation: lines, or whole files without logical splits."""
         if not self.config.inputs:
             raise ValueError("the job has no inputs")
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(self.config.split_bytes))
+        if self.config.split_bytes:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(self.config.split_bytes))
         return (read_lines if self.config.logical_split else read_whole_files)(spark, *self.config.inputs)
 
     def apply(self, rows: DataFrame) -> DataFrame:
@@ -68,6 +69,8 @@ class Job:
         return out
 
     def run(self, spark: SparkSession) -> DataFrame:
+        """The job's result over its inputs; Spark logs at the configured level from here on."""
+        spark.sparkContext.setLogLevel(self.config.spark_log_level)
         return self.apply(self.read(spark))
 
     def explain(self, spark: SparkSession) -> str:

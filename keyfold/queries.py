@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keyfold.functions import words
 from keyfold.operators.aggregates import Measure, cells, keyed_aggregate, merge_cells, to_num
 from keyfold.operators.dedupe import dedupe_batch, dedupe_simple, drop_padding, expected_batches
+from keyfold.operators.ordering import having, sort_by_key, sort_by_value
 from keyfold.operators.partition import two_stage_aggregate, with_partition_id
 from keyfold.plans.workloads import Q1_MEASURES, pricing_summary, pricing_summary_long, revenue_forecast, word_count
 from keyfold.sinks import json_cells
@@ -20,8 +20,12 @@ from keyfold.streaming import stream_job, stream_lines
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; the warehouse if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that driver and executors share; the warehouse if none is set and all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/keyfold-{uuid.uuid4().hex}"
 
 
@@ -47,7 +51,7 @@ def q6_revenue_strict(spark, d):
 
 
 def q6_two_stage_random(spark, d):
-    return _rounded(revenue_forecast(randomized_partition=True).apply(read_table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_discount", "l_extendedprice")), "revenue")
+    return _rounded(revenue_forecast(randomized_partition=True).apply(read_table(spark, d, "lineitem")), "revenue")
 
 
 def wordcount(spark, d):
@@ -90,13 +94,13 @@ def agg_merge_partials(spark, d):
 
 def having_filter(spark, d):
     out = keyed_aggregate(read_table(spark, d, "lineitem"), ["l_suppkey"], [Measure("qty", "sum", "l_quantity")])
-    return out.filter("qty > 15000")
+    return having(out, "qty > 15000")
 
 
-def _ranked(order):
+def _ordered(by):
     def query(spark, d):
         out = keyed_aggregate(read_table(spark, d, "events"), ["event_type"], [Measure("value", "sum", "value")]).select(F.col("event_type").alias("key"), F.round("value", 2).alias("value"))
-        return out.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        return by(out)
 
     return query
 
@@ -194,7 +198,7 @@ QUERIES = {
     "q6_two_stage_random": q6_two_stage_random, "wordcount": wordcount, "wordcount_having": wordcount_having,
     "agg_sum_by_key": _by_type("sum"), "agg_max_by_key": _by_type("max"), "agg_min_by_key": _by_type("min"), "agg_avg_by_key": _by_type("avg"),
     "agg_count_by_key": agg_count_by_key, "agg_multi_measure": agg_multi_measure, "agg_global": agg_global, "agg_global_drop_empty": agg_global_drop_empty,
-    "agg_merge_partials": agg_merge_partials, "having_filter": having_filter, "sort_by_value": _ranked(("value", "key")), "sort_by_key": _ranked(("key",)),
+    "agg_merge_partials": agg_merge_partials, "having_filter": having_filter, "sort_by_value": _ordered(sort_by_value), "sort_by_key": _ordered(sort_by_key),
     "hash_partition_ids": hash_partition_ids, "hash_partition_counts": hash_partition_counts, "two_stage_salted_agg": two_stage_salted_agg,
     "dedupe_batch": dedupe_batch_query, "dedupe_simple": dedupe_simple_query, "expected_batches": expected_batches_query, "padding_dropped": padding_dropped,
     "delimited_scan_roundtrip": delimited_scan_roundtrip, "malformed_row_drop": malformed_row_drop, "multi_input_union": multi_input_union,
@@ -224,8 +228,8 @@ ORACLE_SQL = {
     "agg_global_drop_empty": "select sum(o_totalprice) total from orders where o_totalprice < 0 having count(*) > 0",
     "agg_merge_partials": " union all ".join(f"select o_orderpriority || '-{k}' as key, round({k}(o_totalprice)::double, 2) as value from orders group by o_orderpriority" for k in ("sum", "max", "min", "avg", "count")),
     "having_filter": "select l_suppkey, sum(l_quantity) qty from lineitem group by l_suppkey having sum(l_quantity) > 15000",
-    "sort_by_value": "select *, row_number() over (order by value, key) place from (select event_type key, round(sum(value), 2) value from events group by event_type)",
-    "sort_by_key": "select *, row_number() over (order by key) place from (select event_type key, round(sum(value), 2) value from events group by event_type)",
+    "sort_by_value": "select event_type key, round(sum(value), 2) value from events group by event_type order by value, key",
+    "sort_by_key": "select event_type key, round(sum(value), 2) value from events group by event_type order by key",
     "hash_partition_ids": "select o_orderkey::varchar key, (('0x' || substr(md5(o_orderkey::varchar), 17, 16))::ubigint % 7)::int partition_id from orders",
     "hash_partition_counts": "select (('0x' || substr(md5(o_orderkey::varchar), 17, 16))::ubigint % 7)::int partition_id, count(*) n from orders group by 1",
     "two_stage_salted_agg": "select l_suppkey, round(sum(l_extendedprice), 2) total, round(avg(l_discount), 10) mean, max(l_extendedprice) top, min(l_extendedprice) low, count(*) n from lineitem group by l_suppkey",

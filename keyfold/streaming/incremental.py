@@ -16,7 +16,7 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def stream_job(
-    rows: DataFrame, keys: Sequence[str], measures: Sequence[Measure], checkpoint: str, sink: str = "memory", name: str | None = None,
+    rows: DataFrame, keys: Sequence[str], measures: Sequence[Measure], checkpoint: str, sink: str = "table", name: str | None = None,
     dedupe: Sequence[str] = (), event_time: str | None = None, delay: str = "10 minutes", mode: str = "complete", path: str | None = None,
 ) -> StreamingQuery:
     """Starts a query that takes what is there and stops; run it again to take what came since.
