@@ -38,9 +38,9 @@ def shingles(text, n=3):
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def components(rows, percent=90):
+def components(rows, percent=90, n=3):
     """All pairs, without filters."""
-    sets, groups = {i: shingles(t) for i, t in rows}, Union()
+    sets, groups = {i: shingles(t, n) for i, t in rows}, Union()
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[:k]:
