@@ -38,8 +38,3 @@ class JobConfig:
     def spark_log_level(self) -> str:
         """1 info, 3 warn, anything else error."""
         return {1: "INFO", 3: "WARN"}.get(self.log_level, "ERROR")
-
-
-def reducers_for(splits: int) -> int:
-    """Default number of result partitions: half the splits, rounded up."""
-    return max(1, -(-splits // 2))
