@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import components
-from keyfold.llm.frames import by_row, emptied, id_type, keyed_rows, lean, texts, without, written
+from keyfold.llm.frames import bounded, by_row, emptied, id_type, keyed_rows, lean, texts, without, written
 from keyfold.llm.textbatch import NOT_SPACE, WordBlock, blocks, exact_ngrams, mix, ngram_hash, slices, text_buffers
 
 #: Counters of the rarity sketch, how many travel in one row, and how many rows are added up at once.
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     """The pairs whose texts meet the threshold, n-grams compared word by word."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     heads = written(nodes.select("k", F.col("doc_id").alias("k_id"), "h").join(used, "k").select(F.col("k").alias("node"), F.col("k_id").alias("k"), F.col("h").alias("kh")))
-    named = written(by_row(docs, heads, "inner").select("node", "text").dropDuplicates(["node"]))
+    named = written(by_row(docs, bounded(heads, 64), "inner").select("node", "text").dropDuplicates(["node"]))
     both = pairs.join(named.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
@@ -212,7 +212,7 @@ def _grouped(docs: DataFrame, n: int, percent: int, counted: list[int] | None =
 
     filled = described.filter("n > 0")
     classes = written(filled.groupBy("c").agg(F.min("row").alias("k"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("w")))
-    nodes = written(filled.join(classes.select(F.col("k").alias("row")), "row", "left_semi").select(F.col("row").alias("k"), "doc_id", "h", "n", "prefix", "second", "third", *_BITS))
+    nodes = written(filled.join(bounded(classes.select(F.col("k").alias("row")), 32), "row", "left_semi").select(F.col("row").alias("k"), "doc_id", "h", "n", "prefix", "second", "third", *_BITS))
     inside = F.slice("prefix", F.lit(1), (F.col("n") + 1 - F.ceil(percent * F.col("n") / 100 - 1e-9)).cast("int"))
     rows = nodes.select("k", F.posexplode(inside).alias("pos", "t"))
 
