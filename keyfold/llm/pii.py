@@ -60,6 +60,8 @@ CUES = (
     "order|invoice|id|ref|reference|isbn|issn|no|number|version|serial|sku|ticket|case|build|part",
 )
 BEFORE = 24
+#: Matches of a text that are added up together, so that work does not grow with their square.
+STEP = 128
 THRESHOLD = 0.5
 TREES, DEPTH = 10, 4
 #: What describes a proposal, and how many values each has.
@@ -89,6 +91,10 @@ def _found(text: Column, pattern: str, hint: str) -> Column:
     """All matches, leftmost and not overlapping, as an array of spans: what lies between them gives the places."""
 
     def place(got: Column, gaps: Column) -> Column:
+        within = lambda head: F.sequence(head, F.least(head + STEP - 1, F.size(got) - 1))
+        whole = lambda head: F.aggregate(within(head), F.lit(0), lambda n, k: n + F.length(F.get(gaps, k)) + F.length(F.get(got, k)))
+        ahead = lambda acc, head: F.struct((acc["n"] + whole(head)).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at"))
+
         def step(acc: Column, k: Column) -> Column:
             start = (acc["stop"] + F.length(F.get(gaps, k))).cast("int")
             value = F.get(got, k)
@@ -96,8 +102,13 @@ def _found(text: Column, pattern: str, hint: str) -> Column:
             span = F.struct(start.alias("start"), stop.alias("stop"), value.alias("value"), F.right(F.get(gaps, k), F.lit(BEFORE)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(1)).alias("after"))
             return F.struct(stop.alias("stop"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-        zero = F.struct(F.lit(0).alias("stop"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(got) - 1), zero, step, lambda acc: acc["spans"])
+        def block(head: Column, at: Column) -> Column:
+            zero = F.struct(at.alias("stop"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+            return F.aggregate(within(head), zero, step, lambda acc: acc["spans"])
+
+        heads = F.sequence(F.lit(0), F.size(got) - 1, F.lit(STEP))
+        starts = F.aggregate(heads, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), ahead, lambda acc: acc["at"])
+        return _bound(starts, lambda at: F.flatten(F.transform(heads, lambda head, j: block(head, F.get(at, j)))))
 
     none = F.array().cast(f"array<{_SPAN}>")
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
