@@ -34,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import id_type, keyed_rows, lean, texts, written
+from keyfold.llm.frames import BROADCAST_BYTES, id_type, keyed_rows, lean, texts, written
 from keyfold.llm.textbatch import NOT_SPACE, WordBlock, blocks, mix, ngram_hash, text_buffers
 
 WINDOW, SEED = 20, 8
-#: Places of a prefix that are held in memory together, some 500 bytes each.
-FIT = 4000
+#: Places of a prefix that are held in memory together, some 500 bytes each; few enough that no task gets much more than another.
+FIT = 500
 
 
 def _runs(b: WordBlock, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -259,14 +259,17 @@ def _kept(marked: DataFrame, window: int, with_text: bool) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, fit: int = FIT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), and what is kept if with_text; one row a document."""
     plain = keyed_rows(texts(docs, id_col, text_col))
-    docs = plain.join(_copies(plain), ["doc_id", "h"], "left")  # the same exchange of texts serves all joins below
+    docs = plain.join(written(_copies(plain)), ["doc_id", "h"], "left")  # the same exchange of texts serves all joins of a query
     prefixes = _prefixes(docs, window, seed)
     # Keyed anew (~p), so that both sides of the join get an exchange and a hot prefix can be split.
     again = prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.bitwise_not("p").alias("q"), (F.col("k") > fit).cast("int").alias("long"))
-    live = prefixes.join(again, F.bitwise_not("p") == F.col("q")).groupBy("doc_id", "h").agg(F.collect_set(F.col("at") * 2 + F.col("long")).alias("marks"))
+    live = written(prefixes.join(again, F.bitwise_not("p") == F.col("q")).groupBy("doc_id", "h").agg(F.collect_set(F.col("at") * 2 + F.col("long")).alias("marks")))
     marked = docs.join(live, ["doc_id", "h"], "left").select("doc_id", "h", "text", "marks")
 
-    lengthened = written(_segments(marked.filter(F.exists("marks", lambda m: m % 2 == 1)), window, seed, True))
+    hot = live.select("doc_id", "h", F.filter("marks", lambda m: m % 2 == 1).alias("marks")).filter(F.size("marks") > 0)
+    held = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()
+    hot = F.broadcast(hot) if 64 * held[0] + 4 * held[1] <= BROADCAST_BYTES else hot
+    lengthened = written(_segments(plain.join(hot, ["doc_id", "h"]).select("doc_id", "h", "text", "marks"), window, seed, True))
     sizes = written(lengthened.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.bitwise_not("g").alias("q"), (F.col("k") > fit).alias("long")))
     of = lambda long: lengthened.join(sizes.filter(F.col("long") == long), F.bitwise_not("g") == F.col("q"), "left_semi")
     trees = _subtrees(_segments(marked, window, seed, False).unionByName(of(False)), window, seed)
