@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.frames import BROADCAST_BYTES, id_type, keyed_rows, lean, texts, written
+from keyfold.llm.frames import BROADCAST_BYTES, bounded, id_type, keyed_rows, lean, texts, written
 from keyfold.llm.textbatch import NOT_SPACE, WordBlock, blocks, mix, ngram_hash, text_buffers
 
 WINDOW, SEED = 20, 8
@@ -276,6 +276,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, fit
 
     windows = _windows(of(True), window)
     first = windows.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.bitwise_not("k0").alias("q0"), F.col("k1").alias("q1"), "first")
-    later = windows.join(first, (F.bitwise_not("k0") == F.col("q0")) & (F.col("k1") == F.col("q1"))).filter(F.struct("doc_id", "h", "start") > F.col("first"))
+    # A window of very many places is one row of first; while these are few, the places need not be dealt out by window at all.
+    later = windows.join(bounded(written(first), 80), (F.bitwise_not("k0") == F.col("q0")) & (F.col("k1") == F.col("q1"))).filter(F.struct("doc_id", "h", "start") > F.col("first"))
     gone = trees.unionByName(later.select("doc_id", "h", "start", F.lit(1).alias("n"))).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     return _kept(docs.join(gone, ["doc_id", "h"], "left"), window, with_text)
