@@ -204,6 +204,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     return out
 
 
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(d, w): the first row of the component of each class d."""
+    members = classes.join(labels.withColumnRenamed("id", "k"), "k", "left").select("c", "w", F.coalesce("component", "k").alias("root"))
+    leads = members.groupBy("root").agg(F.min("w").alias("w"))
+    return written(members.select("c", "root").join(leads, "root").select(F.col("c").alias("d"), "w"))
+
+
 def _grouped(docs: DataFrame, n: int, percent: int, counted: list[int] | None = None) -> DataFrame:
     """(doc_id, h, n, w) of all rows of docs (doc_id, text, h); w: (none, doc_id, h) of the first row of the row's component, null without a set."""
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))
@@ -232,6 +239,10 @@ def _grouped(docs: DataFrame, n: int, percent: int, counted: list[int] | None =
     # Then all pairs of a bucket that are still apart.
     named = written(shared.select("t", "r.*").join(known.withColumnRenamed("id", "k"), "k", "left").select("t", F.struct(*fields, F.coalesce("component", "k").alias("of")).alias("r")))
     mixed = written(named.groupBy("t").agg(F.min("r.of").alias("lo"), F.max("r.of").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("t", "size"))
+    if mixed.isEmpty():
+        by_class = _named(classes, known)
+        emptied(classes, nodes, several, shared, pivots, first_links, known, named, mixed)
+        return described.join(by_class, F.col("c") == F.col("d"), "left").select("doc_id", "h", "n", "w")
     split = F.col("size") > HOT if percent >= 67 else F.lit(False)  # from there on two sets that differ and link share two tokens
     few = named.join(mixed.filter(~split), "t", "left_semi").select("t", F.lit(0).cast("long").alias("u"), "r")
     many = named.join(mixed.filter(split), "t", "left_semi").withColumn("k", F.col("r.k")).join(nodes.select("k", "prefix"), "k")
@@ -242,9 +253,7 @@ def _grouped(docs: DataFrame, n: int, percent: int, counted: list[int] | None =
     more_links = _verified(_meeting(apart.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")), nodes, percent, counted), nodes, docs, n, percent)
 
     final = components(first_links.unionByName(more_links))
-    members = classes.join(final.withColumnRenamed("id", "k"), "k", "left").select("c", "w", F.coalesce("component", "k").alias("root"))
-    leads = members.groupBy("root").agg(F.min("w").alias("w"))
-    by_class = written(members.select("c", "root").join(leads, "root").select(F.col("c").alias("d"), "w"))
+    by_class = _named(classes, final)
     emptied(classes, nodes, several, shared, pivots, first_links, known, named, mixed, keyed, more_links, final)
     return described.join(by_class, F.col("c") == F.col("d"), "left").select("doc_id", "h", "n", "w")
 
